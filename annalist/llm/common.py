@@ -168,3 +168,25 @@ def components(edges: DataFrame, nodes_a: str = "a", nodes_b: str = "b") -> Data
         last = sign
     roots = e.groupBy("a").agg(F.min("b").alias("root"))
     return roots.select(F.col("a").alias("node"), "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def runs(batches, key: str, rows: int = 20_000):
+    """Tables of whole runs of equal keys, from batches in which equal keys stand together; about so many rows each, more only for a longer run."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table[key].to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if cut:
+            yield table.slice(0, cut)
+            rest = table.slice(cut).combine_chunks()
+            held, count = rest.to_batches(), len(rest)
+    if held:
+        yield pa.Table.from_batches(held)

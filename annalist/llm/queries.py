@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, digest, html_text, mixing, packing, toxicity
+from . import ann, chat, digest, html_text, jaccard, mixing, packing, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns, "conv_id"), "conv_id")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    size = F.octet_length(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("sa_kept")).alias("n_removed"), F.size("sa_spans").cast("long").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compared(table(spark, sf_dir, "documents"))
 
@@ -54,5 +64,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op8_digest, op9_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op5_suffixes, op6_jaccard, op8_digest, op9_toxicity, op10_html)}
 ORACLE_SQL = {"op1_mixing": mixing.mix_sql()}
