@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, digest, html_text, jaccard, mixing, packing, suffix, toxicity
+from . import ann, chat, digest, html_text, jaccard, mixing, packing, passages, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compared(table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op5_suffixes, op6_jaccard, op8_digest, op9_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op5_suffixes, op6_jaccard, op7_passages, op8_digest, op9_toxicity, op10_html)}
 ORACLE_SQL = {"op1_mixing": mixing.mix_sql()}
