@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_array, components, joined, mix, runs, shingle_hashes, slices, staged
+from .common import U64, as_array, components, joined, mix, runs, shingle_hashes, slices, small, staged
 
 LEVELS, SMALL, BLOCK, SKETCH = 3, 48, 512, 64
 _M = U64(0xD6E8FEB86659FD93)
@@ -267,3 +267,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, reca
     out = base.select("did", F.when(F.col("n") > 0, F.col("skey")).alias("skey")).join(per_set, "skey", "left")
     null = lambda c: F.when(c != least, c)
     return out.select(null(F.col("did")).alias("doc_id"), null(F.coalesce("class", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs with one document of each class of similar_documents(), that of the least id; of repeated rows (one id, one text) one stays."""
+    found = staged(similar_documents(docs, similarity, id_col=id_col, **how))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(F.broadcast(gone) if small(gone, 100_000) else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    twice = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if not twice.limit(1).count():
+        return kept
+    hint = F.broadcast(twice) if small(twice) else twice
+    same = F.col(id_col).eqNullSafe(F.col("_twice"))
+    return kept.join(hint, same, "left_anti").union(kept.join(hint, same, "left_semi").dropDuplicates([id_col, how.get("text_col", "text")]))

@@ -246,3 +246,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     kept = F.aggregate(gaps, F.lit(b""), lambda acc, g: F.concat(acc, F.substring(raw, (g["a"] + 1).cast("int"), (g["z"] - g["a"]).cast("int"))))
     spans_or_none = F.coalesce("sa_spans", F.lit([]).cast("array<struct<start:bigint,end:bigint>>"))
     return out.withColumn("sa_kept", F.when(F.col("sa_spans").isNull(), raw).otherwise(kept)).withColumn("sa_spans", spans_or_none)
+
+
+def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs with their repeats cut out of the text, and its n_chars set anew if they have such a column. A character that a cut divides goes whole; a text that repeats as a whole becomes empty."""
+    found = remove_repeats(docs, length, text_col, id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            texts = b.column(text_col).to_pylist()
+            for i, spans in enumerate(b.column("sa_spans").to_pylist()):
+                if spans:
+                    raw, at, out = texts[i].encode(), 0, []
+                    for s in [*spans, {"start": len(raw), "end": None}]:
+                        out.append(raw[at : s["start"]].decode("utf-8", "ignore"))
+                        at = s["end"]
+                    texts[i] = "".join(out)
+            cols = {c: b.column(c) for c in names if c != "sa_spans"} | {text_col: pa.array(texts, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return found.select(*docs.columns, "sa_spans").mapInArrow(run, docs.schema)

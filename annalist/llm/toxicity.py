@@ -209,6 +209,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str =
 _scores: dict[int, dict[str, float]] = {}
 
 
+def _marginals_of(m: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its score, and of its tokens (with offsets) the probability of being toxic."""
+    memo = _scores.setdefault(hash((m.bias, m.link, len(m.weights))), {})
+    found = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    off = found.offsets.to_numpy().astype(np.int64)
+    off = off - off[0]
+    d = pc.dictionary_encode(found.flatten())
+    known = d.dictionary.to_pylist()
+    if len(memo) > REMEMBERED:
+        memo.clear()
+    for w in known:
+        if w not in memo:
+            memo[w] = m.emission(w)
+    e = np.array([memo[w] for w in known])[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.zeros(0)
+    p, _ = marginals(e, off, m.step)
+    total, top = _sums(p, off)
+    z = m.link[0] + m.link[1] * np.log1p(total) + m.link[2] * top
+    return 1 / (1 + np.exp(-z)), off, p
+
+
 def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """(doc_id, score, spans) of every whole text; spans: [start, end) code points of words that are toxic with probability of at least cut.
 
@@ -218,40 +238,37 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        memo = _scores.setdefault(hash((m.bias, m.link, len(m.weights))), {})
         for batch in batches:
             for b in slices(batch, "text", 12_000_000):
                 texts = as_array(b.column("text"))
-                found = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-                off = found.offsets.to_numpy().astype(np.int64)
-                off = off - off[0]
-                d = pc.dictionary_encode(found.flatten())
-                known = d.dictionary.to_pylist()
-                if len(memo) > REMEMBERED:
-                    memo.clear()
-                for w in known:
-                    if w not in memo:
-                        memo[w] = m.emission(w)
-                e = np.array([memo[w] for w in known])[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.zeros(0)
-                p, _ = marginals(e, off, m.step)
-                total, top = _sums(p, off)
-                z = m.link[0] + m.link[1] * np.log1p(total) + m.link[2] * top
-                spans = [[]] * len(texts)
-                for i in np.flatnonzero(top >= cut):
+                score, off, p = _marginals_of(shared.value, texts)
+                spans: list[list[dict]] = [[] for _ in range(len(texts))]
+                for i in np.unique(np.searchsorted(off, np.flatnonzero(p >= cut), side="right") - 1):
+                    text = texts[i].as_py()
+                    places = [(x.start(), x.end()) for x in re.finditer(r"\S+", text)]
                     hot = p[off[i] : off[i + 1]] >= cut
-                    places = [(x.start(), x.end()) for x in re.finditer(r"\S+", texts[i].as_py())]
-                    if len(places) == len(hot):
-                        spans[i] = [{"start": s, "end": t} for (s, t), h in zip(places, hot) if h]
-                    else:  # a text that starts or ends with white space has empty words there
-                        real = pc.not_equal(pc.binary_length(found[i].values), 0).to_numpy(zero_copy_only=False)
-                        spans[i] = [{"start": s, "end": t} for (s, t), h in zip(places, hot[real]) if h]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-z))), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "score", "spans"])
+                    if len(places) != len(hot):  # white space at an end of the text adds an empty word there
+                        hot = hot[1:] if text[:1].isspace() else hot
+                    spans[i] = [{"start": s, "end": t} for (s, t), h in zip(places, hot) if h]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "score", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:bigint,end:bigint>>")
 
 
+def clean_documents(docs: DataFrame, model: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the threshold; null and empty texts as in score_documents()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, text_col, 12_000_000):
+                score = _marginals_of(shared.value, as_array(b.column(text_col)))[0]
+                yield b.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

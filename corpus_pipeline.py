@@ -1,27 +1,47 @@
-"""The corpus pipeline: documents are filtered, deduplicated, mixed and packed."""
+"""The corpus pipeline: documents are filtered, deduplicated, cut, mixed and packed.
+
+Each stage takes (spark, docs, sf_dir) and is one operator of annalist.llm with its production parameters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from annalist.llm import mixing, packing, toxicity
+from annalist.llm import jaccard, mixing, packing, suffix, toxicity
 from annalist.llm.common import staged
 from annalist.llm.queries import table, tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: No SQL expresses the conditional random field or the packing.
+#: No SQL expresses the conditional random field or the packing; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.3."""
+    """Documents that score under 0.3."""
     model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), toxicity.held_out))
-    scored = toxicity.score_documents(docs, model).where("score >= 0.3").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return toxicity.clean_documents(docs, model, 0.3)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarities of 0.8 or more connect."""
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 400-byte strings that occur elsewhere."""
+    return suffix.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics come near their target weights."""
+    return mixing.corpus_mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [("toxicity", drop_toxic), ("jaccard", keep_one_of_similar), ("suffixes", cut_repeats), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
