@@ -27,7 +27,7 @@ def cut_points(data: bytes, target: int = 4096) -> list[int]:
     b = np.frombuffer(data, dtype=np.uint8)
     h = np.zeros(len(b), dtype=np.uint32)
     g = _gear()[b]
-    for k in range(32):  # a byte's influence is shifted out after 32 more
+    for k in range(min(32, len(b))):  # a byte's influence is shifted out after 32 more
         h[k:] += g[: len(g) - k] << np.uint32(k)
     top = lambda n: np.uint32(((1 << n) - 1) << (32 - n))
     strict, loose = np.flatnonzero((h & top(bits + 2)) == 0) + 1, np.flatnonzero((h & top(bits - 2)) == 0) + 1

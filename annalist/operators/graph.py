@@ -21,19 +21,30 @@ def edges(commits: DataFrame, every: int = 10, back: int = 3) -> DataFrame:
     return first.unionByName(merges.join(known, "parent", "left_semi").withColumn("side", F.lit(1)))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, limit: int = 100_000) -> DataFrame:
-    """(node, depth) of all nodes that are reached from seeds (node) along child to parent, with the fewest steps."""
+def within(edges: DataFrame, doublings: int) -> DataFrame:
+    """(node, up, steps) of all pairs at most 2 ** doublings steps apart along child to parent, with the fewest steps."""
+    near = staged(edges.groupBy(F.col("child").alias("node"), F.col("parent").alias("up")).agg(F.lit(1).cast("long").alias("steps")))
+    for _ in range(doublings):
+        on = near.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
+        far = near.join(on, "up").select("node", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        near = staged(near.union(far).groupBy("node", "up").agg(F.min("steps").alias("steps")))
+    return near
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, doublings: int = 5, limit: int = 100_000) -> DataFrame:
+    """(node, depth) of all nodes that are reached from seeds (node) along child to parent, with the fewest steps.
+
+    A round takes 2 ** doublings steps, by a table of the pairs so near, and goes on from the nodes it found or found nearer.
+    """
+    hops = within(edges, doublings)
     known = staged(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = known
-    step = 0
-    hops = edges.select(F.col("child").alias("node"), F.col("parent").alias("_next"))
-    while step < limit:
-        step += 1
-        new = frontier.join(hops, "node").select(F.col("_next").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        frontier = staged(new.withColumn("depth", F.lit(step).cast("long")))
+    for _ in range(limit):
+        found = frontier.join(hops, "node").groupBy(F.col("up").alias("node")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+        frontier = staged(found.join(known.withColumnRenamed("depth", "_old"), "node", "left").where("_old is null or depth < _old").drop("_old"))
         if not frontier.limit(1).count():
             break
-        known = staged(known.union(frontier)) if step % 16 == 0 else known.union(frontier)
+        known = staged(known.union(frontier).groupBy("node").agg(F.min("depth").alias("depth")))
     return known
 
 

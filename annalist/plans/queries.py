@@ -82,13 +82,13 @@ def operation_rate(spark, sf_dir):
 
 @query("""select commit_no, operations, n_before, median, mad, score, coalesce(abs(score) >= 4.0, false) as anomalous from (select *, round(case when n_before < 8 then null when scale > 0 then (operations - median) / scale when operations = median then 0.0 else sign(operations - median) * 1e6 end, 6) as score
  from (select *, greatest(1.4826 * mad, 0.05 * abs(median)) as scale from (select commit_no, operations, cast(len(h) as bigint) as n_before, case when len(h) = 0 then 0.0 else list_median(h) end as median,
- case when len(h) = 0 then 0.0 else list_median(list_transform(h, v -> abs(v - list_median(h)))) end as mad
- from (select commit_no, operations, coalesce(list(cast(operations as double)) over (order by commit_no rows between 128 preceding and 1 preceding), []) as h from commits))))""".replace("list_median(h)", "list_aggregate(h, 'median')").replace("list_median(list_transform(h, v -> abs(v - list_aggregate(h, 'median'))))", "list_aggregate(list_transform(h, v -> abs(v - list_aggregate(h, 'median'))), 'median')"), "ops", "commits")
+ case when len(h) = 0 then 0.0 else list_median(list_transform(h, lambda v: abs(v - list_median(h)))) end as mad
+ from (select commit_no, operations, coalesce(list(cast(operations as double)) over (order by commit_no rows between 128 preceding and 1 preceding), []) as h from commits))))""".replace("list_median(h)", "list_aggregate(h, 'median')").replace("list_median(list_transform(h, lambda v: abs(v - list_aggregate(h, 'median'))))", "list_aggregate(list_transform(h, lambda v: abs(v - list_aggregate(h, 'median'))), 'median')"), "ops", "commits")
 def anomalies(spark, sf_dir):
     return timeline.robust_scores(src.commits(spark, sf_dir).select("commit_no", "operations"), "commit_no", "operations")
 
 
-@query("select probe_id, at, commit_no from (select id as probe_id, started * 1000000 as at from restores) p asof left join (select microtime, commit_no from commits) c on p.at >= c.microtime", "ops", "commits", "restores")
+@query('select probe_id, p."at" as "at", commit_no from (select id as probe_id, started * 1000000 as "at" from restores) p asof left join (select microtime, commit_no from commits) c on p."at" >= c.microtime', "ops", "commits", "restores")
 def commit_as_of(spark, sf_dir):
     probes = src.restores(spark, sf_dir).select(F.col("id").alias("probe_id"), (F.col("started") * 1_000_000).alias("at"))
     return timeline.as_of(src.commits(spark, sf_dir), probes)
@@ -267,7 +267,7 @@ def diff_subjects(spark, sf_dir):
 
 
 _SIDE = "select p_partkey - p_partkey % 3 as id, {value} as value from part where p_partkey % 3 = {k}"
-_SIDES = [("p_brand", 0), ("case when p_partkey % 2 = 0 then p_brand else p_mfgr end", 1), ("case when p_partkey % 5 = 0 then null else p_mfgr end", 2)]
+_SIDES = [("p_brand", 0), ("case when p_partkey % 2 = 0 then p_brand else p_type end", 1), ("case when p_partkey % 5 = 0 then null else p_type end", 2)]
 
 
 @query("""select id, outcome, present, case when present then value end as value from (select id, outcome, case outcome when 'theirs' then ht when 'conflict' then hb else ho end is not null as present, case outcome when 'theirs' then t when 'conflict' then b else o end as value from
@@ -459,7 +459,7 @@ def identity_columns(spark, sf_dir):
     return quality.identity_columns(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey"])
 
 
-@query("with s as (select subject, row_number() over (order by subject) - 1 as r, count(*) over () as n from (select distinct subject from ops)) select subject from s where r % greatest(1, n // 25) = 0 and r < greatest(1, n // 25) * 25", "ops")
+@query("select subject from (select subject, row_number() over (order by subject) - 1 as r, count(*) over () as n from (select distinct subject from ops)) where r % greatest(1, n // 25) = 0 and r < greatest(1, n // 25) * 25", "ops")
 def drill_sample(spark, sf_dir):
     return quality.stride_sample(src.ops(spark, sf_dir).select("subject").distinct(), "subject", 25)
 
@@ -470,8 +470,7 @@ def drill_compare(spark, sf_dir):
     return quality.drill(history.replay(o, 800), history.replay(o), ["realm", "subject"])
 
 
-@query("""with x as (select (select count(*) from commits where parent_no is null) - 1 as missing_parents, 0 as missing_frames, 2 as unindexed, 40 as deepest, 90000 as lag_seconds, 0 as short_segments, 1 as drifted, 30 as classified, 90 as unclassified)
- select code, severity, rung from (values ('frame.unindexed', 2, 'reindex'), ('delta.chain_too_deep', 1, 'observe'), ('flush.stale', 1, 'observe'), ('watermark.drift', 1, 'observe'), ('classification.unclassified_growth', 1, 'observe')) t(code, severity, rung)""".replace("with x as", "select code, severity, rung from (with x as", 0).split("\n", 1)[1])
+@query("select * from (values ('frame.unindexed', 2, 'reindex'), ('delta.chain_too_deep', 1, 'observe'), ('flush.stale', 1, 'observe'), ('watermark.drift', 1, 'observe'), ('classification.unclassified_growth', 1, 'observe')) t(code, severity, rung)")
 def trip_wires(spark, sf_dir):
     roots = src.commits(spark, sf_dir).agg((F.count_if(F.col("parent_no").isNull()) - 1).alias("missing_parents"))
     fixed = {"missing_frames": 0, "unindexed": 2, "deepest": 40, "lag_seconds": 90_000, "short_segments": 0, "drifted": 1, "classified": 30, "unclassified": 90}
@@ -537,10 +536,10 @@ def readable(spark, sf_dir):
     return o.select("id", tx.human_bytes(F.col("n")).alias("size"), tx.human_duration(F.col("s")).alias("lasts"), tx.moment(F.col("microtime")).alias("moment"), store.shard_path(F.col("h")).alias("path"))
 
 
-@query("select l_shipmode, l_returnflag, count(*) as n, cast(sum(cast(trunc(l_quantity) as bigint)) as bigint) as quantity from lineitem group by 1, 2")
+@query("select l_linestatus, l_returnflag, count(*) as n, cast(sum(cast(trunc(l_quantity) as bigint)) as bigint) as quantity from lineitem group by 1, 2")
 def shipments(spark, sf_dir):
     """Plain grouped sums over the largest table, the bench's scan and aggregate figure."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_shipmode", "l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).cast("long").alias("quantity"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).cast("long").alias("quantity"))
 
 
 # --- without SQL ----------------------------------------------------------------------------------------------------
