@@ -14,45 +14,56 @@ from .common import as_array, slices, staged
 
 CAPACITY = 2048
 #: Items of an island, and of words that a worker remembers, at most about.
-ISLAND, REMEMBERED = 16_000, 300_000
+ISLAND, REMEMBERED = 16_000, 250_000
 _AFTER_WORD = r"([\p{L}\p{N}])([.,;:!?]+)(\s|$)"
 
 
 class Words:
-    """Token ids of words, remembered. Exact for a tokenizer that never joins across white space and that splits letters and digits from a closing run of .,;:!?"""
+    """Token ids of words, remembered. Exact for a tokenizer that never joins across white space, that splits letters and
+    digits from a closing run of .,;:!? and that marks the last token of a run of letters."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.sizes = [], []
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        for a in range(0, len(plain), 500):  # one text of many words costs less than many texts
+            part = plain[a : a + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.young.update(zip(part, (raw[x:y] for x, y in zip(at[:-1], at[1:]))))
+        rest = [w for w in new if w not in self.young]
+        for a in range(0, len(rest), 500):
+            part = rest[a : a + 500]
+            self.young.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets by text, and all token ids."""
-        flat = pc.replace_substring_regex(pc.ascii_lower(texts), _AFTER_WORD, r"\1 \2\3")
-        found = pc.ascii_split_whitespace(flat)
+        found = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _AFTER_WORD, r"\1 \2\3"))
         off = found.offsets.to_numpy().astype(np.int64)
         off = off - off[0]
         d = pc.dictionary_encode(found.flatten())
-        known = d.dictionary.to_pylist()
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        new = [w for w in known if w not in self.at]
-        for a in range(0, len(new), 256):
-            part = new[a : a + 256]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.at[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, dtype="<u4"))
         if not len(d):
             return off, np.zeros(0, dtype="<u4")
-        of = [self.ids[self.at[w]] for w in known]
-        size = np.array([len(x) for x in of], dtype=np.int64)
-        pool = np.concatenate(of)
+        if len(self.young) > REMEMBERED:  # what isn't met again until the next time is forgotten
+            self.old, self.young = self.young, {}
+        known = d.dictionary.to_pylist()
+        missing = [w for w in known if w not in self.young]
+        self.young.update((w, self.old[w]) for w in missing if w in self.old)
+        self._learn([w for w in missing if w not in self.old])
+        of = [self.young[w] for w in known]
+        size = np.fromiter(map(len, of), dtype=np.int64, count=len(of)) // 4
+        pool = np.frombuffer(b"".join(of), dtype="<u4")
         start = np.cumsum(size) - size
         which = d.indices.to_numpy(zero_copy_only=False)
         n = size[which]
