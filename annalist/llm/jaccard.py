@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_array, components, joined, mix, runs, shingle_hashes, slices, small, staged
+from .common import U64, as_array, components, mix, runs, shingle_hashes, slices, small, staged
 
 LEVELS, SMALL, BLOCK, SKETCH = 3, 48, 512, 64
 _M = U64(0xD6E8FEB86659FD93)
@@ -207,7 +207,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, reca
         if not last:
             large = sizes.where(F.col("m") > SMALL).select(F.col("leaf").alias("up"))
             below = classes.select("skey", F.explode(F.arrays_zip(F.col(f"p{i + 1}").alias("leaf"), F.col(f"u{i + 1}").alias("up"))).alias("x")).select("skey", "x.leaf", "x.up")
-            level = staged(joined(below, large, ["up"], "left_semi").drop("up"))
+            level = staged(below.join(large, "up", "left_semi").drop("up"))
     leaves = done[0][0].join(done[0][1], "leaf")
     for rows_of, sizes in done[1:]:
         leaves = leaves.union(rows_of.join(sizes, "leaf"))
@@ -229,7 +229,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, reca
     flat = dealt.select(*kept, "copies", F.col("rep.did").alias("did"), F.col("rep.tkey").alias("tkey"))
     hit = staged(flat.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(candidates, schema))
     needed = hit.select("did", "tkey").distinct()
-    texts = joined(rows, needed, ["did", "tkey"]).dropDuplicates(["did", "tkey"])
+    texts = rows.join(needed, ["did", "tkey"]).dropDuplicates(["did", "tkey"])
     ready = hit.join(texts, ["did", "tkey"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
