@@ -22,6 +22,8 @@ from .common import as_array, slices
 
 #: The sample that the field is fitted on: documents of either label and characters of one, at most. Features kept at most.
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3000, 20_000, 50_000
+#: Probabilities of being toxic that don't count towards a document's score.
+FLOOR = 0.1
 #: Words that a worker remembers the score of.
 REMEMBERED = 500_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -129,7 +131,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
         return seen[f] * (q * np.log(q / pi) + ((1 - q) * np.log((1 - q) / (1 - pi)) if q < 1 else 0))
 
     ranked = sorted(((v, f) for f in toxic if (v := evidence(f)) > 3), reverse=True)[:FEATURES]
-    strong = {f for v, f in ranked if v > 13.8 and toxic[f] / seen[f] > max(0.5, 3 * pi) and (toxic[f] / bad) > 20 * ((seen[f] - toxic[f]) / (n - bad))}
+    strong = {f for v, f in ranked if v > 13.8 and toxic[f] / seen[f] > 0.5 + pi / 2 and (toxic[f] / bad) > 20 * ((seen[f] - toxic[f]) / (n - bad))}
     keep = {f: i for i, (_, f) in enumerate(ranked)}
     # training chains: sentences with a toxic token, and as many again and more without
     rng = np.random.default_rng(seed)
@@ -171,7 +173,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
             w, bias, step = w + rate * dw / np.sqrt(gw), bias + rate * db / np.sqrt(gb), step + rate * ds / np.sqrt(gs)
     out.weights = {f: float(w[i]) for f, i in keep.items() if abs(w[i]) > 1e-3}
     out.bias, out.step = float(bias), step
-    # the document score: a logistic function of the expected number of toxic tokens and of the surest one
+    # the document score: a logistic function of the expected number of toxic tokens, from those above FLOOR, and of the surest one
     off = np.cumsum([0, *(len(d) for d in docs)])
     memo = {x: out.emission(x) for x in of}
     total, top = _sums(marginals(np.array([memo[x] for d in docs for x in d]), off, step)[0], off)
@@ -181,12 +183,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
         p = 1 / (1 + np.exp(-x @ beta))
         h = x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(3)
         beta = beta + np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.1 * beta), -5, 5)
+        beta[1:] = np.maximum(beta[1:], 0)  # more toxic tokens never lower a score, so that an empty text has the least
     out.link = tuple(float(b) for b in beta)
     return out
 
 
 def _sums(p: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.diff(np.concatenate([[0.0], np.cumsum(p)])[off])
+    # what is below FLOOR is no evidence, or a long text would gather it
+    total = np.diff(np.concatenate([[0.0], np.cumsum(np.maximum(p - FLOOR, 0))])[off])
     top = np.zeros(len(off) - 1)
     if len(p):
         full = np.diff(off) > 0

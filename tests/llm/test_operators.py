@@ -543,17 +543,19 @@ def test_toxicity_held_out_accuracy(spark):
 
 
 def test_toxicity_edges(spark, odd, none):
-    model = toxicity.fit(["bad bad word"] * 30 + ["good day here"] * 60, [1] * 30 + [0] * 60)
+    r = random.Random(7)
+    texts = [prose(r, 40, 900) for _ in range(150)]
+    model = toxicity.fit([f"{t} bad word" if i < 50 else t for i, t in enumerate(texts)], [1] * 50 + [0] * 100)
     rows = toxicity.score_documents(odd, model).collect()
     assert len(rows) == 12 and all(0 <= x["score"] < 0.3 and x["spans"] == [] for x in rows)
     assert toxicity.score_documents(none, model).count() == 0 and toxicity.clean_documents(none, model).count() == 0
     assert toxicity.clean_documents(odd, model).columns == odd.columns
-    for texts, labels in (([], []), (["a"], [0]), (["a"], [1])):
-        toxicity.fit(texts, labels)
+    for few, marks in (([], []), (["a"], [0]), (["a"], [1])):
+        toxicity.fit(few, marks)
     labels = spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 1)], "doc_id long, toxic int")
     assert toxicity.labelled_sample(none, labels, toxicity.held_out) == ([], [])
-    white = toxicity.score_documents(frame(spark, [" bad word\n", "x bad "]), toxicity.fit(["bad"] * 60 + ["good"] * 90, [1] * 60 + [0] * 90)).orderBy("doc_id").collect()
-    assert [(s["start"], s["end"]) for s in white[0]["spans"]] == [(1, 4)] and [(s["start"], s["end"]) for s in white[1]["spans"]] == [(2, 5)]
+    white = toxicity.score_documents(frame(spark, [" bad word\n", "bad word "]), model, cut=0.2).orderBy("doc_id").collect()
+    assert [(s["start"], s["end"]) for s in white[0]["spans"]] == [(1, 4), (5, 9)] and [(s["start"], s["end"]) for s in white[1]["spans"]] == [(0, 3), (4, 8)]
 
 
 def test_crc_of_ids(spark):
@@ -615,5 +617,5 @@ def test_pipeline_stages(spark, sf_dir):
             texts = [(r["doc_id"], r["text"]) for r in before.collect()]
             want = {k: kept.decode("utf-8", "ignore") for k, _, kept in brute_repeats(texts, 400)[1]}
             assert {r["doc_id"]: r["text"] for r in docs.collect()} == want
-    assert seen["jaccard"] < seen["toxicity"] < queries.table(spark, sf_dir, "documents").count() and 0 < seen["mixing"] < seen["suffixes"]
+    assert seen["jaccard"] < seen["toxicity"] <= queries.table(spark, sf_dir, "documents").count() and 0 < seen["mixing"] < seen["suffixes"]
     check_packing(docs.collect())
