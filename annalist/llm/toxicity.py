@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, slices
+from .common import as_array, mix, shingle_hashes, slices
 
 #: The sample that the field is fitted on: documents of either label and characters of one, at most. Features kept at most.
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3000, 20_000, 50_000
@@ -102,6 +102,19 @@ def _sequences(texts: list[str]) -> list[list[str]]:
     return [t.lower().split() for t in texts]
 
 
+def _originals(texts: list[str], functions: int = 6) -> list[int]:
+    """Places of texts that share no min-hash of their 5-word shingles with an earlier one: copies would pass for evidence."""
+    off, h = shingle_hashes(pa.array(texts, pa.string()))
+    full = np.flatnonzero(np.diff(off))
+    least = [np.minimum.reduceat(mix(h ^ np.uint64(7919 * f + 1)), off[:-1][full]).tolist() for f in range(functions)] if len(full) else []
+    seen, out = set(), []
+    for i, keys in zip(full.tolist(), zip(*least)):
+        if not any((f, k) in seen for f, k in enumerate(keys)):
+            out.append(i)
+        seen.update(enumerate(keys))
+    return out
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, rate: float = 0.3) -> Field:
     """A field from documents and their labels. With one label only it scores all documents by that label's share."""
     out, docs = Field(), _sequences(texts)
@@ -111,17 +124,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
         out.link = (float(np.log(share / (1 - share))), 0.0, 0.0)
         return out
     of: dict[str, list[str]] = {}
+    for words in docs:
+        for w in words:
+            if w not in of:
+                of[w] = features(w)
     seen, toxic = Counter(), Counter()
-    for words, label in zip(docs, labels):
+    single = _originals(texts)
+    bad, n = sum(labels[i] for i in single), len(single)
+    for words, label in ((docs[i], labels[i]) for i in single):
         found = set()
         for w in set(words):
-            if w not in of:
-                of[w] = features(w)
             found.update(of[w])
         seen.update(found)
         if label:
             toxic.update(found)
-    pi = bad / n
+    pi = max(1, bad) / max(1, n)
 
     def evidence(f: str) -> float:
         """Nats by which a feature's share of toxic documents beats the base rate, times its documents (0 if it falls short)."""
@@ -131,7 +148,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
         return seen[f] * (q * np.log(q / pi) + ((1 - q) * np.log((1 - q) / (1 - pi)) if q < 1 else 0))
 
     ranked = sorted(((v, f) for f in toxic if (v := evidence(f)) > 3), reverse=True)[:FEATURES]
-    strong = {f for v, f in ranked if v > 13.8 and toxic[f] / seen[f] > 0.5 + pi / 2 and (toxic[f] / bad) > 20 * ((seen[f] - toxic[f]) / (n - bad))}
+    sure = np.log(10 * max(1, len(seen)))  # so that chance gives a tenth of a strong feature among all
+    strong = {f for v, f in ranked if v > sure and toxic[f] / seen[f] > 0.5 + pi / 2 and (toxic[f] / max(1, bad)) > 20 * ((seen[f] - toxic[f]) / max(1, n - bad))}
     keep = {f: i for i, (_, f) in enumerate(ranked)}
     # training chains: sentences with a toxic token, and as many again and more without
     rng = np.random.default_rng(seed)
@@ -177,7 +195,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
     off = np.cumsum([0, *(len(d) for d in docs)])
     memo = {x: out.emission(x) for x in of}
     total, top = _sums(marginals(np.array([memo[x] for d in docs for x in d]), off, step)[0], off)
-    x = np.stack([np.ones(n), np.log1p(total), top], axis=1)
+    x = np.stack([np.ones(len(docs)), np.log1p(total), top], axis=1)
     y, beta = np.array(labels, dtype=float), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
