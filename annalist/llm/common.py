@@ -42,16 +42,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left join right, which is broadcast only if it was counted and found small."""
-    return left.join(F.broadcast(right) if small(right) else right, on, how)
-
-
-def whole_text(col: str = "text"):
-    """The text as a column, null as the empty string."""
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal inputs give equal outputs, near ones unrelated outputs."""
     h = h.astype(U64, copy=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, joined, mix, powers, runs, sliding_min, staged
+from .common import U64, mix, powers, runs, sliding_min, staged
 
 GRAM, PERIOD = 64, 16
 #: A bucket of more contexts than this is split by what its suffixes have in common, SLICE distances at a time.
@@ -161,13 +161,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text_col: str = "text",
     kind = "h long, c long, did long, tkey binary, at long, lo long, hi long"
     marks = staged(rows.select("did", "tkey", "text").mapInArrow(find, kind))
     often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = staged(joined(marks, often, ["h"]))
+    marks = staged(marks.join(often, "h"))
     contexts = staged(marks.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "tkey", "at", "lo", "hi")).alias("rep")))
     twice = contexts.where("n > 1").select("h", "c")
     decided = marks.join(twice, ["h", "c"], "left_semi").select("tkey", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     mixed = contexts.groupBy("h").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("once")).where("k > 1 and once > 0")
     open_ = contexts.join(mixed, "h").select("h", "n", "rep.*", (F.col("k") > HOT).alias("hot"))
-    texts = joined(rows, open_.select("did", "tkey").distinct(), ["did", "tkey"]).dropDuplicates(["did", "tkey"]).join(open_, ["did", "tkey"])
+    texts = rows.join(open_.select("did", "tkey").distinct(), ["did", "tkey"]).dropDuplicates(["did", "tkey"]).join(open_, ["did", "tkey"])
     cut = texts.select("h", "n", "tkey", "hot", "at", "lo", "hi", F.expr(f"substring(encode(text, 'UTF-8'), int(lo + 1), int(hi - lo + {length}))").alias("bytes"))
     suffixes = "bucket long, n long, tkey binary, frm long, far long, starts long, bytes binary"
 
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     ranges = repeated_ranges(docs, length, text_col, id_col).distinct().groupBy(F.col("tkey").alias("sa_tkey")).agg(F.collect_list(F.struct("start", "end")).alias("x"))  # of one text
     spans = staged(ranges.mapInArrow(merge, "sa_tkey binary, sa_spans array<struct<start:bigint,end:bigint>>"))
     keyed = docs.withColumn("sa_tkey", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    out = joined(keyed, spans, ["sa_tkey"], "left").drop("sa_tkey")
+    out = keyed.join(spans, "sa_tkey", "left").drop("sa_tkey")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     ends = F.concat(F.lit([0]).cast("array<bigint>"), F.transform("sa_spans", lambda x: x["end"]))
     starts = F.concat(F.transform("sa_spans", lambda x: x["start"]), F.array(F.octet_length(raw).cast("long")))
