@@ -92,17 +92,20 @@ def matrix(col) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v) of the rows that take part: id and vector given, each component finite, not all zero. Rows of one id count as one (the least vector)."""
-    v = F.col(vec_col).cast("array<double>")
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
+    v = F.col(vec_col).cast("array<float>" if kind == "float" else "array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 10, leaf: int = 32, search: int = 12_000, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 20, leaf: int = 32, search: int = 40_000, share: float = 0.75, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest rows (Euclidean) found for each row whose id is divisible by every: (query_id, rank, vec_id, score).
 
     The planes are fitted on at most SAMPLE_ROWS rows, chosen by a hash of the id; every row is indexed. Of equal
     vectors only the k + 1 least ids can be among a query's k nearest, so only these are indexed, which also keeps a
-    vector shared by many rows from filling a leaf. Leaves of more than 4,096 rows are dealt to several tasks. Ties go
+    vector shared by many rows from filling a leaf. Leaves of more than 4,096 rows are dealt to several tasks.
+    A query looks into leaves until they hold `search` rows, or `share` of all if that is more (a row counts once a tree):
+    vectors without any structure need that for a recall of 0.9; for clustered ones a tenth will do. Ties go
     to the smaller id; fewer than k rows give what there is; an empty table gives an empty result. Vectors must be of
     one length (the most frequent; others take no part).
     """
@@ -113,6 +116,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 1
         return spark.createDataFrame([], schema)
     dim, n = dims[0]["d"], dims[0]["count"]
     rows = staged(rows.where(F.size("v") == dim))
+    search, vector = max(search, int(share * n)), rows.schema["v"].dataType.simpleString()
     distinct = staged(rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r"))
     bound = max(2, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     chosen = distinct.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(1.1 * bound / n * (1 << 20)))).orderBy(F.xxhash64("id")).limit(bound).select("v").toArrow()
@@ -125,7 +129,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 1
             for t in range(of.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(of[:, t]), b.column("id"), b.column("v")], names=["leaf", "id", "v"])
 
-    indexed = distinct.mapInArrow(index, "leaf long, id long, v array<double>")
+    indexed = distinct.mapInArrow(index, f"leaf long, id long, v {vector}")
     size = np.zeros(forest.leaves, dtype=np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # one row a leaf, of which the sample bounds the number
         size[r["leaf"]] = r["count"]
@@ -141,13 +145,13 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 1
                 times = pieces[found]
                 leaf = np.repeat(found, times)
                 piece = np.arange(len(leaf)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(piece), pa.array(np.full(len(leaf), ids[i])), pa.array([x[i].tolist()] * len(leaf), pa.list_(pa.float64()))], names=["leaf", "piece", "query", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(piece), pa.array(np.full(len(leaf), ids[i])), pa.array([x[i].tolist()] * len(leaf), b.column("v").type)], names=["leaf", "piece", "query", "q"])
 
     def near(queries: pa.Table, members: pa.Table) -> pa.Table:
         out = [], [], []
         if len(queries) and len(members):
-            ids, x = members["id"].to_numpy(), matrix(members["v"].combine_chunks())
-            for query, q in zip(queries["query"].to_pylist(), matrix(queries["q"].combine_chunks())):
+            ids, x = members["id"].to_numpy(), matrix(members["v"].combine_chunks()).astype(np.float64)
+            for query, q in zip(queries["query"].to_pylist(), matrix(queries["q"].combine_chunks()).astype(np.float64)):
                 d = np.sqrt(np.square(x - q).sum(axis=1))
                 d = np.where(ids == query, np.inf, d)
                 cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
@@ -159,7 +163,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 1
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, dtype=t)
         return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], np.float64)})
 
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(leaves, "leaf long, piece long, query long, q array<double>")
+    asked = rows.where(F.col("id") % every == 0).mapInArrow(leaves, f"leaf long, piece long, query long, q {vector}")
     counts = spark.createDataFrame(pa.table({"leaf": np.arange(forest.leaves), "pieces": pieces}).to_pandas(), "leaf long, pieces long") if (pieces > 1).any() else None
     members = indexed.withColumn("pieces", F.lit(1)) if counts is None else indexed.join(F.broadcast(counts), "leaf")
     members = members.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))).drop("pieces")
