@@ -8,7 +8,6 @@ found in toxic documents far more often than chance allows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, mix, shingle_hashes, slices
+from .common import as_array, mix, shingle_hashes, slices, words
 
 #: The sample that the field is fitted on: documents of either label and characters of one, at most. Features kept at most.
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3000, 20_000, 50_000
@@ -98,86 +97,96 @@ def marginals(e: np.ndarray, off: np.ndarray, step: np.ndarray) -> tuple[np.ndar
     return p, pair
 
 
-def _sequences(texts: list[str]) -> list[list[str]]:
-    return [t.lower().split() for t in texts]
-
-
-def _originals(texts: list[str], functions: int = 6) -> list[int]:
+def _originals(texts: pa.Array, functions: int = 6, part: int = 500) -> list[int]:
     """Places of texts that share no min-hash of their 5-word shingles with an earlier one: copies would pass for evidence."""
-    off, h = shingle_hashes(pa.array(texts, pa.string()))
-    full = np.flatnonzero(np.diff(off))
-    least = [np.minimum.reduceat(mix(h ^ np.uint64(7919 * f + 1)), off[:-1][full]).tolist() for f in range(functions)] if len(full) else []
     seen, out = set(), []
-    for i, keys in zip(full.tolist(), zip(*least)):
-        if not any((f, k) in seen for f, k in enumerate(keys)):
-            out.append(i)
-        seen.update(enumerate(keys))
+    for a in range(0, len(texts), part):
+        off, h = shingle_hashes(texts.slice(a, part))
+        full = np.flatnonzero(np.diff(off))
+        least = [np.minimum.reduceat(mix(h ^ np.uint64(7919 * f + 1)), off[:-1][full]).tolist() for f in range(functions)] if len(full) else []
+        for i, keys in zip((full + a).tolist(), zip(*least)):
+            if not any((f, k) in seen for f, k in enumerate(keys)):
+                out.append(i)
+            seen.update(enumerate(keys))
     return out
 
 
+class _Features:
+    """The features of a vocabulary as numbers: those of word i are ids[off[i] : off[i + 1]]."""
+
+    def __init__(self, vocabulary: list[str]):
+        number: dict[str, int] = {}
+        rows = [[number.setdefault(f, len(number)) for f in features(w)] for w in vocabulary]
+        self.names = list(number)
+        self.off = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+        self.ids = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=self.off[-1])
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of words, one after another: which of the words each belongs to, and its number."""
+        n = self.off[words + 1] - self.off[words]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - self.off[words], n)
+        return np.repeat(np.arange(len(words)), n), self.ids[at]
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, rate: float = 0.3) -> Field:
     """A field from documents and their labels. With one label only it scores all documents by that label's share."""
-    out, docs = Field(), _sequences(texts)
-    bad, n = sum(labels), len(labels)
+    out, label = Field(), np.array(labels, dtype=np.int64)
+    bad, n = int(label.sum()), len(label)
     if not bad or bad == n:
         share = (bad + 0.5) / (n + 1) if n else 0.01
         out.link = (float(np.log(share / (1 - share))), 0.0, 0.0)
         return out
-    of: dict[str, list[str]] = {}
-    for words in docs:
-        for w in words:
-            if w not in of:
-                of[w] = features(w)
-    seen, toxic = Counter(), Counter()
-    single = _originals(texts)
-    bad, n = sum(labels[i] for i in single), len(single)
-    for words, label in ((docs[i], labels[i]) for i in single):
-        found = set()
-        for w in set(words):
-            found.update(of[w])
-        seen.update(found)
-        if label:
-            toxic.update(found)
+    column = pa.array(texts, pa.string())
+    single = _originals(column)
+    off, flat = words(column)
+    coded = pc.dictionary_encode(flat)
+    ids, vocabulary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    del column, flat, coded
+    known = _Features(vocabulary)
+    seen, toxic = np.zeros(len(known.names), np.int64), np.zeros(len(known.names), np.int64)
+    for i in single:
+        found = np.unique(known.of(np.unique(ids[off[i] : off[i + 1]]))[1])
+        seen[found] += 1
+        toxic[found] += label[i]
+    bad, n = int(label[single].sum()), len(single)
     pi = max(1, bad) / max(1, n)
-
-    def evidence(f: str) -> float:
-        """Nats by which a feature's share of toxic documents beats the base rate, times its documents (0 if it falls short)."""
-        q = toxic[f] / seen[f]
-        if q <= pi:
-            return 0.0
-        return seen[f] * (q * np.log(q / pi) + ((1 - q) * np.log((1 - q) / (1 - pi)) if q < 1 else 0))
-
-    ranked = sorted(((v, f) for f in toxic if (v := evidence(f)) > 3), reverse=True)[:FEATURES]
-    sure = np.log(10 * max(1, len(seen)))  # so that chance gives a tenth of a strong feature among all
-    strong = {f for v, f in ranked if v > sure and toxic[f] / seen[f] > 0.5 + pi / 2 and (toxic[f] / max(1, bad)) > 20 * ((seen[f] - toxic[f]) / max(1, n - bad))}
-    keep = {f: i for i, (_, f) in enumerate(ranked)}
-    # training chains: sentences with a toxic token, and as many again and more without
+    # nats by which a feature's share of toxic documents beats the base rate, times its documents (0 if it falls short)
+    q = toxic / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = seen * (q * np.log(q / pi) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - pi)), 0))
+    evidence = np.where(q > pi, evidence, 0.0)
+    ranked = np.argsort(-evidence, kind="stable")[: int(min(FEATURES, (evidence > 3).sum()))]
+    place = np.full(len(seen), -1)
+    place[ranked] = np.arange(len(ranked))
+    sure = np.log(10 * max(1, int((seen > 0).sum())))  # so that chance gives a tenth of a strong feature among all
+    strong = (place >= 0) & (evidence > sure) & (q > 0.5 + pi / 2) & (toxic / max(1, bad) > 20 * (seen - toxic) / max(1, n - bad))
+    of, which = known.of(np.arange(len(vocabulary)))
+    marked = np.bincount(of, weights=strong[which], minlength=len(vocabulary)) > 0
+    # training chains: runs of 24 tokens with a toxic one, and as many again and more without
     rng = np.random.default_rng(seed)
-    chains: list[tuple[list[str], list[int]]] = []
-    for words, label in zip(docs, labels):
-        tags = [int(bool(label) and any(f in strong for f in of[w])) for w in words]
-        for a in range(0, len(words), 24):
-            if any(tags[a : a + 24]) or rng.random() < 0.15 * (1 - 0.7 * label):
-                chains.append((words[a : a + 24], tags[a : a + 24]))
-    chains = [chains[i] for i in rng.permutation(len(chains))[:40_000]]
-    w, bias, step = np.zeros(len(keep)), -3.0, np.zeros((2, 2))
-    gw, gb, gs = np.full(len(keep), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    tags = marked[ids] & np.repeat(label == 1, np.diff(off))
+    count = -(-np.diff(off) // 24)
+    doc = np.repeat(np.arange(len(count)), count)
+    start = off[:-1][doc] + 24 * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    end = np.minimum(start + 24, off[1:][doc])
+    hot = np.maximum.reduceat(tags.view(np.uint8), start) > 0 if len(start) else np.zeros(0, dtype=bool)
+    chains = rng.permutation(np.flatnonzero(hot | (rng.random(len(start)) < 0.15 * (1 - 0.7 * label[doc]))))[:40_000]
+    w, bias, step = np.zeros(len(ranked)), -3.0, np.zeros((2, 2))
+    gw, gb, gs = np.full(len(ranked), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(epochs):
         for a in range(0, len(chains), 2000):
             part = chains[a : a + 2000]
-            off = np.cumsum([0, *(len(c) for c, _ in part)])
-            y = np.array([t for _, tags in part for t in tags], dtype=float)
-            rows, cols = [], []
-            for i, word in enumerate(x for c, _ in part for x in c):
-                for f in of[word]:
-                    if f in keep:
-                        rows.append(i)
-                        cols.append(keep[f])
-            rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-            e = bias + np.bincount(rows, weights=w[cols], minlength=len(y)) if len(rows) else np.full(len(y), bias)
-            p, pair = marginals(e, off, step)
+            size = end[part] - start[part]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(ends[-1]) - np.repeat(ends[:-1] - start[part], size)
+            y = tags[at].astype(float)
+            rows, cols = known.of(ids[at])
+            rows, cols = rows[place[cols] >= 0], place[cols][place[cols] >= 0]
+            e = bias + np.bincount(rows, weights=w[cols], minlength=len(y))
+            p, pair = marginals(e, ends, step)
             inner = np.ones(len(y), dtype=bool)
-            inner[off[:-1]] = False
+            inner[ends[:-1]] = False
             i = np.flatnonzero(inner)
 
             def moments(q: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -185,18 +194,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
                 return np.array([[len(i) - one - two + both, two - both], [one - both, both]])
 
             slope = y - p
-            dw = (np.bincount(cols, weights=slope[rows], minlength=len(w)) if len(rows) else np.zeros(len(w))) - 0.05 * w
+            dw = np.bincount(cols, weights=slope[rows], minlength=len(w)) - 0.05 * w
             db, ds = slope.sum(), moments(y, (y[i - 1] * y[i]).sum()) - moments(p, pair[i].sum()) - 0.05 * step
             gw, gb, gs = gw + dw**2, gb + db**2, gs + ds**2
             w, bias, step = w + rate * dw / np.sqrt(gw), bias + rate * db / np.sqrt(gb), step + rate * ds / np.sqrt(gs)
-    out.weights = {f: float(w[i]) for f, i in keep.items() if abs(w[i]) > 1e-3}
+    out.weights = {known.names[f]: float(x) for f, x in zip(ranked.tolist(), w) if abs(x) > 1e-3}
     out.bias, out.step = float(bias), step
     # the document score: a logistic function of the expected number of toxic tokens, from those above FLOOR, and of the surest one
-    off = np.cumsum([0, *(len(d) for d in docs)])
-    memo = {x: out.emission(x) for x in of}
-    total, top = _sums(marginals(np.array([memo[x] for d in docs for x in d]), off, step)[0], off)
-    x = np.stack([np.ones(len(docs)), np.log1p(total), top], axis=1)
-    y, beta = np.array(labels, dtype=float), np.zeros(3)
+    emission = np.array([out.emission(x) for x in vocabulary])
+    total, top = np.zeros(len(label)), np.zeros(len(label))
+    cut = [0, *(np.flatnonzero(np.diff(off[1:] // 300_000)) + 1).tolist(), len(label)]  # parts of about so many tokens
+    for a, z in zip(cut[:-1], cut[1:]):
+        part = off[a : z + 1] - off[a]
+        total[a:z], top[a:z] = _sums(marginals(emission[ids[off[a] : off[z]]], part, step)[0], part)
+    x = np.stack([np.ones(len(label)), np.log1p(total), top], axis=1)
+    y, beta = label.astype(float), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
         h = x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(3)
@@ -224,8 +236,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str =
     picked = [one.where(F.col("_y") == y).orderBy(order, id_col).limit(per_label) for y in (0, 1)]
     ids = picked[0].union(picked[1])
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length("_t") <= chars).join(F.broadcast(ids), id_col)  # at most 2 * per_label rows
-    got = rows.dropDuplicates([id_col]).orderBy(order).select("_t", "_y").collect()
-    return [r["_t"] for r in got], [r["_y"] for r in got]
+    got = rows.dropDuplicates([id_col]).orderBy(order).select("_t", "_y").toArrow()
+    return got["_t"].to_pylist(), got["_y"].to_pylist()
 
 
 _scores: dict[int, dict[str, float]] = {}
