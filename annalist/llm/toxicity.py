@@ -24,7 +24,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3000, 20_000, 50_000
 #: Probabilities of being toxic that don't count towards a document's score.
 FLOOR = 0.1
 #: Words that a worker remembers the score of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -56,8 +56,8 @@ def _order(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return by, off[:-1][by], size[by]
 
 
-def marginals(e: np.ndarray, off: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over many chains at once: P(state 1) of each token, and P(1, 1) with the token before it.
+def marginals(e: np.ndarray, off: np.ndarray, step: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over many chains at once: P(state 1) of each token, and (if asked for) P(1, 1) with the token before it.
 
     e: log potential of state 1 over state 0 of each token, chain after chain. The messages are kept as log ratios
     of the states, so one number a token.
@@ -85,6 +85,8 @@ def marginals(e: np.ndarray, off: np.ndarray, step: np.ndarray) -> tuple[np.ndar
         r[:n] = np.log((s10 + s11 * x) / (s00 + s01 * x))
         bwd[at] = r[:n]
     p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -500, 500)))
+    if not pairs:
+        return p, None
     pair = np.zeros(len(e))
     inner = np.ones(len(e), dtype=bool)
     inner[off[:-1][np.diff(off) > 0]] = False
@@ -206,7 +208,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 12, ra
     cut = [0, *(np.flatnonzero(np.diff(off[1:] // 300_000)) + 1).tolist(), len(label)]  # parts of about so many tokens
     for a, z in zip(cut[:-1], cut[1:]):
         part = off[a : z + 1] - off[a]
-        total[a:z], top[a:z] = _sums(marginals(emission[ids[off[a] : off[z]]], part, step)[0], part)
+        total[a:z], top[a:z] = _sums(marginals(emission[ids[off[a] : off[z]]], part, step, False)[0], part)
     x = np.stack([np.ones(len(label)), np.log1p(total), top], axis=1)
     y, beta = label.astype(float), np.zeros(3)
     for _ in range(50):
@@ -245,7 +247,10 @@ _scores: dict[int, dict[str, float]] = {}
 
 def _marginals_of(m: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its score, and of its tokens (with offsets) the probability of being toxic."""
-    memo = _scores.setdefault(hash((m.bias, m.link, len(m.weights))), {})
+    key = hash((m.bias, m.link, len(m.weights)))
+    if key not in _scores:
+        _scores.clear()  # one model's words at a time
+    memo = _scores.setdefault(key, {})
     found = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     off = found.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
@@ -257,7 +262,7 @@ def _marginals_of(m: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         if w not in memo:
             memo[w] = m.emission(w)
     e = np.array([memo[w] for w in known])[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.zeros(0)
-    p, _ = marginals(e, off, m.step)
+    p, _ = marginals(e, off, m.step, False)
     total, top = _sums(p, off)
     z = m.link[0] + m.link[1] * np.log1p(total) + m.link[2] * top
     return 1 / (1 + np.exp(-z)), off, p
@@ -273,7 +278,7 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 12_000_000):
+            for b in slices(batch, "text", 6_000_000):
                 texts = as_array(b.column("text"))
                 score, off, p = _marginals_of(shared.value, texts)
                 spans: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -296,7 +301,7 @@ def clean_documents(docs: DataFrame, model: Field, threshold: float = 0.3, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_col, 12_000_000):
+            for b in slices(batch, text_col, 6_000_000):
                 score = _marginals_of(shared.value, as_array(b.column(text_col)))[0]
                 yield b.filter(pa.array(score < threshold))
 
