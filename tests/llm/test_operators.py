@@ -445,6 +445,18 @@ def test_passages_edges(spark, odd, none):
     assert {(x["doc_id"], x["n_words"]) for x in passages.near_passages(own).collect()} == {(1, 60)}
 
 
+@pytest.mark.parametrize("gap", [0, 50])
+def test_own_repeats_may_differ(gap):
+    r = np.random.default_rng(gap)
+    for change in ("word", "insert"):
+        p = [str(w) for w in r.integers(0, 1 << 40, 60)]
+        q = [*p[:30], "other", *p[30 if change == "insert" else 31 :]]
+        fill = lambda n: [str(w) for w in r.integers(0, 1 << 40, n)]
+        x = common.shingle_hashes(pa.array([" ".join([*fill(20), *p, *fill(gap), *q, *fill(20)])]))[1]
+        found = passages.verified_passages(x, x, [(22, 82 + gap)], 46, 0.8)
+        assert len(found) == 1 and found[0][0] <= 20 and found[0][1] >= 76 and found[0][1] <= found[0][2] and found[0][4] >= 0.8
+
+
 def test_passages_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(passages, "HOT_SHARE", -1.0)
     r = random.Random(6)
