@@ -457,6 +457,42 @@ def test_own_repeats_may_differ(gap):
         assert len(found) == 1 and found[0][0] <= 20 and found[0][1] >= 76 and found[0][1] <= found[0][2] and found[0][4] >= 0.8
 
 
+def test_passages_as_brute_force(spark):
+    """At production parameters: passages made of phrases that many other documents have too, with a word changed."""
+    r = random.Random(12)
+    phrases = [[f"p{i}x{j}" for j in range(10)] for i in range(12)]
+    texts = []
+    for i in range(60):
+        p = [w for x in r.sample(phrases, 6) for w in x]
+        q = list(p)
+        q[r.randrange(20, 40)] = f"z{i}"
+        texts += [f"{prose(r, 30, 10**6)} {' '.join(x)} {prose(r, 30, 10**6)}" for x in (p, q)]
+    texts += [" ".join(f"{prose(r, 20, 10**6)} {' '.join(p)}" for p in r.sample(phrases, 4)) for _ in range(120)]
+    order = r.sample(range(len(texts)), len(texts))
+    off, h = common.shingle_hashes(pa.array(texts))
+    sets = [h[a:z] for a, z in zip(off[:-1], off[1:])]
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 41:  # of 46, for a similarity of 0.8
+                windows = [np.lib.stride_tricks.sliding_window_view(sets[x], 46) for x in (i, j)]
+                if any(passages._jaccard(x, y) >= 0.8 for x in windows[0][::2] for y in windows[1][::2]):
+                    want |= {i, j}
+    got = {order.index(x["doc_id"]) for x in passages.near_passages(frame(spark, {order[i]: t for i, t in enumerate(texts)})).collect()}
+    assert len(want) >= 100 and len(got & want) >= 0.97 * len(want) and max(got) < 120
+
+
+def test_windows_of_two_functions_overlap():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    rows = sorted((int(c), int(a), int(z), f) for f in range(2) for a, c, z in zip(*passages.compact_windows(h, passages._SEEDS[f], 46)))
+    c, left, right, v = (np.array(x) for x in zip(*rows))
+    got = {frozenset(((int(c[a]), int(v[a])), (int(c[b]), int(v[b])))) for i, j in passages.overlapping(v, left, c, right, 46) for a, b in zip(i, j)}
+    keys = [passages._keyed(h, passages._SEEDS[f]) for f in range(2)]
+    want = {frozenset(((s + int(np.argmin(keys[0][s:e])), 0), (s + int(np.argmin(keys[1][s:e])), 1))) for s in range(150) for e in range(s + 46, 151)}
+    assert got == want
+
+
 def test_passages_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(passages, "HOT_SHARE", -1.0)
     r = random.Random(6)
