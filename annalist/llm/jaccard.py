@@ -26,10 +26,12 @@ _M = U64(0xD6E8FEB86659FD93)
 def runs_needed(recall: float, similarity: float, levels: int = LEVELS) -> int:
     """Runs after which two sets of the given similarity have met in some bucket with the target probability.
 
-    Tokens chosen at a set's first level: 1 / similarity a run; of these a pair shares the part 2 j / (1 + j), as a
-    Poisson number; so a path of the pair dies at a level with a probability that is a fixed point iteration.
+    A pair follows its common tokens below the threshold of its larger set, 1 / (similarity * size), a Poisson number. Its
+    mean is (size of the union) / (size of the larger set): 2 / (1 + similarity) for equal sizes, and 1 at the least, if one
+    set holds the other, whatever the similarity. So a path of the pair dies at a level with a probability that is a fixed
+    point iteration.
     """
-    mean = 2 / (1 + similarity)
+    mean = 1.0
     die = 0.0
     for _ in range(levels - 1):
         die = math.exp(-mean * (1 - die))

@@ -386,6 +386,19 @@ def test_runs_for_recall():
     assert jaccard.runs_needed(0.99, 0.8, 1) < jaccard.runs_needed(0.99, 0.8, 3) < jaccard.runs_needed(0.9999, 0.8, 3)
 
 
+def test_contained_sets_meet_at_the_last_level():
+    """At production parameters: one set is 0.8 of the other and in it."""
+    rng, n = np.random.default_rng(7), 4000
+    h = [np.sort(rng.integers(0, 1 << 64, 100, dtype=np.uint64)) for _ in range(n)]
+    sets = [x for y in h for x in (y, np.sort(rng.permutation(y)[:80]))]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    at, path, _ = jaccard._paths(off, np.concatenate(sets), 0.8, jaccard.runs_needed(0.99, 0.8), jaccard.LEVELS)[-1]
+    paths = defaultdict(set)
+    for i, p in zip(at.tolist(), path.tolist()):
+        paths[i].add(p)
+    assert sum(not paths[2 * i].isdisjoint(paths[2 * i + 1]) for i in range(n)) >= 0.987 * n
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (100, 102), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
