@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,32 @@ BROADCAST_ROWS = 20_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: what the session names, else one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/annalist-checkpoints"
+    """The shared folder for written intermediate tables, which the session must name unless all of Spark is on this machine."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/annalist-checkpoints"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """What is run meanwhile gets Arrow batches of about this size: rows hold whole texts, and a worker several batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/annalist-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

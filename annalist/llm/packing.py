@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import as_array, slices, staged
 
 CAPACITY = 2048
-#: Items of an island, and of words that a worker remembers, at most about.
-ISLAND, REMEMBERED = 16_000, 250_000
+#: Items of an island, words that a worker remembers twice at most, about, and bytes of text that it takes at a time.
+ISLAND, REMEMBERED, PART = 16_000, 150_000, 1_000_000
 _AFTER_WORD = r"([\p{L}\p{N}])([.,;:!?]+)(\s|$)"
 
 
@@ -23,6 +25,7 @@ class Words:
     digits from a closing run of .,;:!? and that marks the last token of a run of letters."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would take memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,32 +50,25 @@ class Words:
             part = rest[a : a + 500]
             self.young.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets by text, and all token ids."""
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's token ids, as unsigned little-endian 32-bit numbers."""
         found = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _AFTER_WORD, r"\1 \2\3"))
         off = found.offsets.to_numpy().astype(np.int64)
-        off = off - off[0]
         d = pc.dictionary_encode(found.flatten())
-        if not len(d):
-            return off, np.zeros(0, dtype="<u4")
+        known = d.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) > REMEMBERED:  # what isn't met again until the next time is forgotten
             self.old, self.young = self.young, {}
-        known = d.dictionary.to_pylist()
         missing = [w for w in known if w not in self.young]
-        self.young.update((w, self.old[w]) for w in missing if w in self.old)
-        self._learn([w for w in missing if w not in self.old])
+        self.young.update((w, self.old.pop(w)) for w in missing if w in self.old)
+        self._learn([w for w in missing if w not in self.young])
         of = [self.young[w] for w in known]
-        size = np.fromiter(map(len, of), dtype=np.int64, count=len(of)) // 4
-        pool = np.frombuffer(b"".join(of), dtype="<u4")
-        start = np.cumsum(size) - size
-        which = d.indices.to_numpy(zero_copy_only=False)
-        n = size[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
-        return ends[off], pool[at]
+        which, at = d.indices.to_numpy(zero_copy_only=False).tolist(), (off - off[0]).tolist()
+        return [b"".join(map(of.__getitem__, which[a:z])) for a, z in zip(at[:-1], at[1:])]
 
 
-_words: dict[str, Words] = {}
+@lru_cache(1)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,23 +81,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        if tokenizer not in _words:
-            _words[tokenizer] = Words(tokenizer)
+        words, end = _words(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for b in slices(batch, "text"):
-                off, ids = _words[tokenizer].encode(as_array(b.column("text")))
-                raw, end = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B"), int(end_id).to_bytes(4, "little")
+            for b in slices(batch, "text", PART):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-                    n = z - a + 1
+                for i, ids in enumerate(words.encode(as_array(b.column("text")))):
+                    raw = ids + end
+                    n = len(raw) // 4
                     for k, s in enumerate(range(0, n, capacity)):
                         e = min(n, s + capacity)
-                        c = zlib.crc32(raw[4 * (a + s) : 4 * (a + min(e, n - 1))])
                         rows.append(i)
                         piece.append(k)
                         start.append(s)
                         length.append(e - s)
-                        crc.append(zlib.crc32(end, c) if e == n else c)
+                        crc.append(zlib.crc32(raw[4 * s : 4 * e]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -227,7 +220,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, elit
     cols = pieces.columns
     wrong = F.expr(f"raise_error('a piece must have 1 to {capacity} tokens')")
     items = pieces.withColumn("length", F.when((F.col("length") >= 1) & (F.col("length") <= capacity), F.col("length")).otherwise(wrong.cast("long")))
-    items = items.withColumn("_tie", F.xxhash64(*[F.col(c) for c in cols]))
+    # written, so that the number which tells repeated rows apart stays the same whatever is computed again
+    items = staged(items.withColumn("_tie", F.xxhash64(*[F.col(c) for c in cols], F.monotonically_increasing_id())))
     full = items.where(F.col("length") == capacity)
     rest = items.where(F.col("length") < capacity)
     n = rest.count()
@@ -279,4 +273,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, elit
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """token_pieces() packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(staged(token_pieces(docs, tokenizer, capacity)), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity), capacity)

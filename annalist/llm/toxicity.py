@@ -23,8 +23,8 @@ from .common import as_array, mix, shingle_hashes, slices, words
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3000, 20_000, 50_000
 #: Probabilities of being toxic that don't count towards a document's score.
 FLOOR = 0.1
-#: Words that a worker remembers the score of.
-REMEMBERED = 250_000
+#: Words that a task remembers the score of, and bytes of text that it takes at a time.
+REMEMBERED, PART = 250_000, 2_000_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -242,15 +242,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str =
     return got["_t"].to_pylist(), got["_y"].to_pylist()
 
 
-_scores: dict[int, dict[str, float]] = {}
-
-
-def _marginals_of(m: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: its score, and of its tokens (with offsets) the probability of being toxic."""
-    key = hash((m.bias, m.link, len(m.weights)))
-    if key not in _scores:
-        _scores.clear()  # one model's words at a time
-    memo = _scores.setdefault(key, {})
+def _marginals_of(m: Field, texts: pa.Array, memo: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its score, and of its tokens (with offsets) the probability of being toxic. memo: scores of the task's words so far."""
     found = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     off = found.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
@@ -277,10 +270,11 @@ def score_documents(docs: DataFrame, model: Field, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
         for batch in batches:
-            for b in slices(batch, "text", 6_000_000):
+            for b in slices(batch, "text", PART):
                 texts = as_array(b.column("text"))
-                score, off, p = _marginals_of(shared.value, texts)
+                score, off, p = _marginals_of(shared.value, texts, memo)
                 spans: list[list[dict]] = [[] for _ in range(len(texts))]
                 for i in np.unique(np.searchsorted(off, np.flatnonzero(p >= cut), side="right") - 1):
                     text = texts[i].as_py()
@@ -300,9 +294,10 @@ def clean_documents(docs: DataFrame, model: Field, threshold: float = 0.3, text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
         for batch in batches:
-            for b in slices(batch, text_col, 6_000_000):
-                score = _marginals_of(shared.value, as_array(b.column(text_col)))[0]
+            for b in slices(batch, text_col, PART):
+                score = _marginals_of(shared.value, as_array(b.column(text_col)), memo)[0]
                 yield b.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)
