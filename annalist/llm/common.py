@@ -27,23 +27,29 @@ def scratch(spark: SparkSession) -> str:
     return "/tmp/annalist-checkpoints"
 
 
+#: Settings while a table is written: Arrow batches small enough that a worker can hold several, as rows hold whole texts;
+#: and shuffle files go as soon as the table stands in their place.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """What is run meanwhile gets Arrow batches of about this size: rows hold whole texts, and a worker several batches."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What is run meanwhile has these settings."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/annalist-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with settings(spark, WRITING):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

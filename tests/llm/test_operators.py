@@ -523,7 +523,8 @@ def test_windows_of_two_functions_overlap():
 
 
 def test_passages_salted_groups(spark, monkeypatch):
-    monkeypatch.setattr(passages, "HOT_SHARE", -1.0)
+    for name, value in (("SAMPLE", 1), ("HOT", 2), ("PART", 7), ("BLOCK", 20)):
+        monkeypatch.setattr(passages, name, value)
     r = random.Random(6)
     p = prose(r, 60, 9999)
     texts = {i: f"{prose(r, 60, 9999)} {p} {prose(r, 30, 9999)}" for i in range(300)} | {999: prose(r, 100, 9999)}
