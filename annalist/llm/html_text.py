@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements that end a block, that are skipped with their content, that hold no main text, and that have no end tag.
-BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = set("script style noscript template textarea iframe object svg math canvas head select option button".split())
+BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SKIPPED = set("script style noscript template textarea iframe object svg math canvas head select option button title".split())
 CHROME = set("nav footer aside form menu dialog".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of class names, ids and ARIA roles that mark what isn't main text.
@@ -93,7 +93,7 @@ def blocks(page: str) -> list[Block]:
                     at = end.start() if end[0][1] != "/" else end.end()
             elif not closing and not attrs.endswith("/") and name != "option":
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n if name in ("script", "style", "textarea") else at
+                at = end.end() if end else n if name in ("script", "style", "textarea", "title") else at
             continue
         if name == "a":
             state["a"] = 0 if closing else 1
@@ -143,12 +143,15 @@ def classify(b: Block) -> int:
 
 
 def main_text(page: str | None) -> str:
-    """The main text: good blocks in page order, joined by a line feed. Where a page has article or main elements, only what stands in them can be good, and open blocks there that have no decided neighbour are good."""
+    """The main text: good blocks in page order, joined by a line feed. Where a page has article or main elements and most
+    of what is good by itself stands in them, nothing else is; open blocks there that have no decided neighbour are good."""
     found = blocks(page or "")
-    if any(b.article and not b.chrome for b in found):
-        for b in found:
-            b.chrome = b.chrome or not b.article
     labels = [classify(b) for b in found]
+    size = lambda inside: sum(len(b.text) for b, x in zip(found, labels) if x == GOOD and b.article == inside)
+    if any(b.article and not b.chrome for b in found) and size(True) >= size(False):
+        for i, b in enumerate(found):
+            b.chrome = b.chrome or not b.article
+            labels[i] = labels[i] if b.article else BAD
     own = [i for i, b in enumerate(found) if not b.chrome]  # neighbours are sought among what isn't the page's frame
     decided = [i for i in own if labels[i] != OPEN]
     rank = {i: k for k, i in enumerate(own)}
