@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Other names of the canonical roles.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Layouts by name. paths: the field paths of a record. turns: a list's path with the fields of its role
-#: and text; or pairs (role, path), where paths of one role are joined by an empty line.
+#: and text; or pairs (role, path), where paths of one role are joined by an empty line. roles: canonical
+#: names of the layout's own roles; without them a role stays as it is.
 LAYOUTS = {
     "messages": {"paths": ["messages[].content", "messages[].role"], "turns": ("messages", "role", "content")},
-    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "turns": ("conversations", "from", "value")},
-    "dialogue": {"paths": ["data.turns[].speaker", "data.turns[].text"], "turns": ("data.turns", "speaker", "text")},
+    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "turns": ("conversations", "from", "value"), "roles": ROLES},
+    "dialogue": {"paths": ["data.turns[].speaker", "data.turns[].text"], "turns": ("data.turns", "speaker", "text"), "roles": ROLES},
     "system_messages": {"paths": ["messages[].content", "messages[].role", "system"], "pairs": [("system", "system")], "turns": ("messages", "role", "content")},
     "instruction": {"paths": ["instruction", "output"], "pairs": [("user", "instruction"), ("assistant", "output")]},
     "instruction_input": {"paths": ["input", "instruction", "output"], "pairs": [("user", "instruction"), ("user", "input"), ("assistant", "output")]},
@@ -29,8 +32,6 @@ LAYOUTS = {
     "system_prompt_response": {"paths": ["prompt", "response", "system"], "pairs": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
     "question_answer": {"paths": ["answer", "question"], "pairs": [("user", "question"), ("assistant", "answer")]},
 }
-#: Other names of the canonical roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -79,7 +80,8 @@ def canonical_turns(record, layout: dict) -> list[tuple[str, str]]:
         turns.append((role, text))
     if "turns" in layout:
         path, role, text = layout["turns"]
-        turns += [(ROLES.get(r := _string(m.get(role)), r), _string(m.get(text))) for m in _at(record, path) or [] if isinstance(m, dict)]
+        names = layout.get("roles", {})
+        turns += [(names.get(r := _string(m.get(role)), r), _string(m.get(text))) for m in _at(record, path) or [] if isinstance(m, dict)]
     return turns
 
 
