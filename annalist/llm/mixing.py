@@ -23,9 +23,12 @@ def token_count(text: Column) -> Column:
 
 
 def hashed_topic(text: Column, topics: int = 8) -> Column:
-    """A stand-in for a topic label: the class of the first plain word of six letters or more (-1: there is none)."""
-    word = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "[a-z]{6,}", 0)
-    return F.when(word == "", F.lit(-1)).otherwise(F.pmod(F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long"), F.lit(topics))).cast("int")
+    """A stand-in for a topic label: words are dealt to classes by hash, and the class that most of the text's plain words of
+    six letters or more are in is its topic (the least of equal ones; -1: there is no such word)."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{6,}"), F.lit(0))
+    classes = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(topics)))
+    counts = F.transform(F.array(*[F.lit(t) for t in range(topics)]), lambda t: F.size(F.filter(classes, lambda c: c == t)))
+    return F.when(F.size(words) == 0, F.lit(-1)).otherwise(F.array_position(counts, F.array_max(counts)) - 1).cast("int")
 
 
 def unit(key: Column) -> Column:
@@ -116,9 +119,10 @@ def mix_sql(table: str = "documents", columns: str = "doc_id, source as mix_sour
     shares = ", ".join(f"s_{d} as (select {d}, pow(sum(n), {power}) / sum(pow(sum(n), {power})) over () as share_{d} from cells group by {d} having sum(n) > 0)" for d in ("source", "lang", "topic"))
     joins = " ".join(f"left join s_{d} on cells.{d} is not distinct from s_{d}.{d}" for d in ("source", "lang", "topic"))
     return f"""
-with tagged0 as (select *, regexp_extract(lower(coalesce(text, '')), '[a-z]{{6,}}') as word from {table}),
-tagged as (select *, case when word = '' then -1 else cast(('0x' || substr(md5(word), 1, 6)) as bigint) % 8 end as topic,
-  case when coalesce(length(text), 0) = 0 then 0 else length(text) - length(translate(text, {spaces}, '')) + 1 end as tokens from tagged0),
+with tagged0 as (select *, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{6,}}'), lambda w: cast(('0x' || substr(md5(w), 1, 6)) as bigint) % 8) as classes from {table}),
+tagged1 as (select *, list_transform(range(8), lambda t: len(list_filter(classes, lambda c: c = t))) as counts from tagged0),
+tagged as (select *, case when len(classes) = 0 then -1 else list_position(counts, list_max(counts)) - 1 end as topic,
+  case when coalesce(length(text), 0) = 0 then 0 else length(text) - length(translate(text, {spaces}, '')) + 1 end as tokens from tagged1),
 cells as materialized (select source, lang, topic, cast(sum(tokens) as double) as n from tagged group by all),
 {shares},
 w0 as materialized (select cells.*, share_source, share_lang, share_topic, (select sum(n) from cells) as total, n * {budget} as w from cells {joins}),
