@@ -42,7 +42,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     size = F.octet_length(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
-    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("sa_kept")).alias("n_removed"), F.size("sa_spans").cast("long").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("sa_kept")).alias("n_removed"), F.size("sa_spans").cast("long").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"), (F.size("sa_spans") > 0).alias("has_repeat"), F.col("sa_spans").alias("removed_spans"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
