@@ -68,6 +68,17 @@ def test_mixing_is_native(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_topics_read_whole_texts(spark):
+    import hashlib
+
+    of = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 8
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["planets", "geology", "violins", "harbours", "of", "été"]) for _ in range(r.randrange(0, 9))) for _ in range(60)]
+    for text, topic in spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.hashed_topic(F.col("t"))).collect():
+        n = Counter(of(w) for w in text.split() if len(w) >= 6)
+        assert topic == (min(n, key=lambda k: (-n[k], k)) if n else -1)
+
+
 def test_mixing_edges(spark, odd, none):
     assert mixing.corpus_mix(none).count() == 0
     out = mixing.corpus_mix(odd, budget=1.0, power=1.0)
@@ -261,6 +272,21 @@ def test_chat_layouts(spark):
     assert len(done) == 13 and {r["n_turns"] for r in done if r["id"] in ("null", "unknown")} == {0}
 
 
+def test_roles_stay_unless_the_layout_names_them():
+    record = {"messages": [{"role": "human", "content": "a"}, {"role": "model", "content": "b"}]}
+    assert chat.canonical_turns(record, chat.LAYOUTS["messages"]) == [("human", "a"), ("model", "b")]
+    record = {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}
+    assert chat.canonical_turns(record, chat.LAYOUTS["conversations"]) == [("user", "a"), ("assistant", "b")]
+
+
+def test_chat_empty_table_and_long_conversation(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    run = lambda rows: chat.read_back(chat.formatted(chat.canonical(chat.records_of(spark.createDataFrame(rows, schema)), "conv_id", "body"), "conv_id"), "conv_id").collect()
+    assert run([]) == []
+    rows = [(1, i, "assistant" if i % 2 else "user", "x" * 1000) for i in range(2000)]
+    assert [(r["n_turns"], r["loss_chars"]) for r in run(rows)] == [(2000, 1_000_000)]
+
+
 def test_chat_null_rows(spark):
     rows = spark.createDataFrame([(1, 1, None, "x"), (1, None, "user", None), (None, 0, "assistant", "y"), (1, 1, None, "x")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.formatted(chat.canonical(chat.records_of(rows), "conv_id", "body"), "conv_id"), "conv_id").collect()}
@@ -665,6 +691,27 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG_PART = "This is one of the long parts of the page that we have here and it is not in any article at all. " * 3
+
+
+def test_a_teaser_is_no_veto():
+    page = f"<div id=content><p>{LONG_PART}</p><p>{LONG_PART}</p></div><article><p>Teaser.</p></article>"
+    assert html_text.main_text(page).count(LONG_PART.strip()) == 2
+    page = f"<article><p>{LONG_PART}</p><p>{LONG_PART}</p></article><div><p>{LONG_PART}</p></div>"
+    assert html_text.main_text(page).count(LONG_PART.strip()) == 2
+
+
+def test_an_unclosed_head_keeps_its_title():
+    assert html_text.main_text(f"<html><head><title>Never me</title><meta x><p>{LONG_PART}") == LONG_PART.strip()
+
+
+def test_long_pages_and_clashing_names(spark):
+    page = "".join(f"<p>{LONG_PART}</p>" for _ in range(3000))
+    rows = spark.createDataFrame([(None, "u", page, "a"), (1, None, None, "b")], "page_id long, url string, html string, n_chars string")
+    got = {r["page_id"]: r for r in html_text.extract(rows).collect()}
+    assert got[None]["n_chars"] == 3000 * len(LONG_PART) - 1 and got[1]["text"] == ""
+
+
 def test_pages_table(spark, sf_dir):
     rows = queries.op10_html(spark, sf_dir).collect()
     assert len(rows) == queries.table(spark, sf_dir, "pages").count() and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
