@@ -15,8 +15,14 @@ from annalist.llm.queries import table, tokenizer_path
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes for what the session runs from here on: rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3."""
+    _small_batches(spark)
     model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), toxicity.held_out))
     return toxicity.clean_documents(docs, model, 0.3)
 
@@ -28,6 +34,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that occur elsewhere."""
+    _small_batches(spark)
     return suffix.without_repeats(docs)
 
 
