@@ -14,6 +14,8 @@ TIERS = ((0, 0), (1, 604_800), (2, 2_592_000), (3, 7_776_000))
 #: Ladder of use against budget, and what is done from there on.
 BUDGET = ((0.8, "warn"), (1.0, "slow"), (1.25, "pause_files"), (1.5, "pause_all"))
 GB, GIB, SECONDS_PER_MONTH = 1_000_000_000, 1 << 30, 2_629_800
+#: Fixed value: seconds of the month that use is projected to for a budget (30.44 days).
+BUDGET_MONTH = 2_630_016
 
 
 def due_for_rollup(segments: DataFrame, now: int, ladder: tuple = LADDER) -> DataFrame:
@@ -52,7 +54,7 @@ def monthly_cost(bytes_: Column, writes: Column, reads: Column, prices: dict[str
 
 def assess_budget(use: DataFrame, bytes_col: str, requests_col: str, seconds: Column, byte_budget: float, request_budget: float) -> DataFrame:
     """use with share (the worse of bytes and requests scaled to a month, against their budgets) and the action on the ladder."""
-    month = F.col(requests_col) * F.lit(float(SECONDS_PER_MONTH)) / F.greatest(seconds, F.lit(1))
+    month = F.col(requests_col) * F.lit(float(BUDGET_MONTH)) / F.greatest(seconds, F.lit(1))
     share = F.greatest(F.col(bytes_col) / F.lit(float(byte_budget)), month / F.lit(float(request_budget)))
     action = reduce(lambda c, x: F.when(F.col("share") >= x[0], x[1]).otherwise(c), BUDGET, F.lit("none"))
     return use.withColumn("share", F.round(share, 6)).withColumn("action", action)

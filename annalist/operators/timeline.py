@@ -72,11 +72,15 @@ def series(per_bucket: DataFrame, width: int) -> DataFrame:
     return per_bucket.select("bucket", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*metrics.values()))).alias("metric", "value")).withColumn("value", F.round("value", 6))
 
 
-def robust_scores(readings: DataFrame, order: str, value: str, history: int = 128, least: int = 8, threshold: float = 4.0, floor: float = 0.05, by: list[str] = ()) -> DataFrame:
+#: Measurements of which only a fall is a symptom.
+FALL_ONLY = ("dedup_ratio", "compression_ratio")
+
+
+def robust_scores(readings: DataFrame, order: str, value: str, history: int = 128, least: int = 8, threshold: float = 4.0, floor: float = 0.05, by: list[str] = (), fall_only: Column | None = None) -> DataFrame:
     """Score each reading against the median of up to `history` earlier ones: (x - median) / max(1.4826 MAD, floor |median|).
 
-    Readings with fewer than `least` earlier ones have score null. With no spread at all, the score is 0 for the median
-    itself and else the sign times 1e6. Adds n_before, median, mad, score, anomalous.
+    Readings with fewer than `least` earlier ones have score null. With no spread and no floor the distance is a share of the
+    median, and at median 0 the value's sign. Where fall_only holds, only a fall is anomalous (see FALL_ONLY). Adds n_before, median, mad, score, anomalous.
     """
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(-history, -1)
     out = readings.withColumn("_h", F.collect_list(F.col(value).cast("double")).over(before)).withColumn("n_before", F.size("_h").cast("long"))
@@ -89,8 +93,10 @@ def robust_scores(readings: DataFrame, order: str, value: str, history: int = 12
     out = out.withColumn("mad", middle(F.when(F.size("_h") > 0, F.transform("_h", lambda v: F.abs(v - F.col("median")))).otherwise(F.array(F.lit(0.0)))))
     scale = F.greatest(F.lit(1.4826) * F.col("mad"), F.lit(floor) * F.abs("median"))
     gap = F.col(value).cast("double") - F.col("median")
-    score = F.when(F.col("n_before") < least, F.lit(None).cast("double")).when(scale > 0, gap / scale).when(gap == 0, 0.0).otherwise(F.signum(gap) * 1e6)
+    score = F.when(F.col("n_before") < least, F.lit(None).cast("double")).when(scale > 0, gap / scale).when(F.col("median") != 0, gap / F.abs("median")).otherwise(F.signum(gap))
     out = out.withColumn("score", F.round(score, 6)).withColumn("anomalous", F.coalesce(F.abs("score") >= threshold, F.lit(False)))
+    if fall_only is not None:
+        out = out.withColumn("anomalous", F.col("anomalous") & (~fall_only | (F.col("score") < 0)))
     return out.drop("_h")
 
 

@@ -20,6 +20,15 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def point(ops: DataFrame, tenths: int) -> int:
+    """The sequence that so many tenths of the journal's range end with."""
+    return (ops.agg(F.max("sequence")).first()[0] or 0) * tenths // 10
+
+
+def point_sql(tenths: int) -> str:
+    return f"(select coalesce(max(sequence), 0) * {tenths} // 10 from ops)"
+
+
 def query(sql: str | None = None, *views: str):
     """Register a query under its function's name, with its SQL over the named adapters."""
 
@@ -80,7 +89,7 @@ def operation_rate(spark, sf_dir):
     return timeline.operation_rate(src.commits(spark, sf_dir))
 
 
-@query("""select commit_no, operations, n_before, median, mad, score, coalesce(abs(score) >= 4.0, false) as anomalous from (select *, round(case when n_before < 8 then null when scale > 0 then (operations - median) / scale when operations = median then 0.0 else sign(operations - median) * 1e6 end, 6) as score
+@query("""select commit_no, operations, n_before, median, mad, score, coalesce(abs(score) >= 4.0, false) as anomalous from (select *, round(case when n_before < 8 then null when scale > 0 then (operations - median) / scale when median <> 0 then (operations - median) / abs(median) else sign(operations) end, 6) as score
  from (select *, greatest(1.4826 * mad, 0.05 * abs(median)) as scale from (select commit_no, operations, cast(len(h) as bigint) as n_before, case when len(h) = 0 then 0.0 else list_median(h) end as median,
  case when len(h) = 0 then 0.0 else list_median(list_transform(h, lambda v: abs(v - list_median(h)))) end as mad
  from (select commit_no, operations, coalesce(list(cast(operations as double)) over (order by commit_no rows between 128 preceding and 1 preceding), []) as h from commits))))""".replace("list_median(h)", "list_aggregate(h, 'median')").replace("list_median(list_transform(h, lambda v: abs(v - list_aggregate(h, 'median'))))", "list_aggregate(list_transform(h, lambda v: abs(v - list_aggregate(h, 'median'))), 'median')"), "ops", "commits")
@@ -226,17 +235,19 @@ def replay_all(spark, sf_dir):
     return history.replay(src.ops(spark, sf_dir))
 
 
-@query(_REPLAY.format(where=" where sequence <= 600"), "ops")
+@query(_REPLAY.format(where=f" where sequence <= {point_sql(5)}"), "ops")
 def replay_at(spark, sf_dir):
-    return history.replay(src.ops(spark, sf_dir), 600)
+    o = src.ops(spark, sf_dir)
+    return history.replay(o, point(o, 5))
 
 
 _AT = "select realm, subject, arg_max(verb, sequence) not in ('delete', 'truncate') as exists, count(case when verb in ('delete', 'truncate') or field_json is not null then 1 end) as versions, max(sequence) as sequence from ops where sequence <= {n} group by 1, 2"
 
 
-@query(_AT.format(n=600).replace("as exists", 'as "exists"'), "ops")
+@query(_AT.format(n=point_sql(5)).replace("as exists", 'as "exists"'), "ops")
 def subjects_at(spark, sf_dir):
-    return history.subjects_at(src.ops(spark, sf_dir), 600)
+    o = src.ops(spark, sf_dir)
+    return history.subjects_at(o, point(o, 5))
 
 
 @query(f"select * from (select realm, subject, max(microtime) as updated, arg_max(verb, sequence) in ('delete', 'truncate') as deleted, arg_max(payload_length, sequence) as size from ops group by 1, 2) where updated > {MID}", "ops")
@@ -251,19 +262,21 @@ def previous_versions(spark, sf_dir):
 
 _DIFF = f"""select * from (select coalesce(a.realm, b.realm) as realm, coalesce(a.subject, b.subject) as subject, coalesce(a.field, b.field) as field,
  case when a.sequence is null then 'added' when b.sequence is null then 'removed' when a.value is distinct from b.value then 'changed' end as status, a.value as before, b.value as after
- from ({_REPLAY.format(where=" where sequence <= 400")}) a full join ({_REPLAY.format(where=" where sequence <= 900")}) b on a.realm = b.realm and a.subject = b.subject and a.field = b.field) where status is not null"""
+ from ({_REPLAY.format(where=f" where sequence <= {point_sql(5)}")}) a full join ({_REPLAY.format(where=f" where sequence <= {point_sql(9)}")}) b on a.realm = b.realm and a.subject = b.subject and a.field = b.field) where status is not null"""
 
 
 @query(_DIFF, "ops")
 def diff_fields(spark, sf_dir):
-    return history.diff_fields(src.ops(spark, sf_dir), 400, 900)
+    o = src.ops(spark, sf_dir)
+    return history.diff_fields(o, point(o, 5), point(o, 9))
 
 
 @query(f"""select d.realm, d.subject, case when a.subject is null and b.subject is not null then 'added' when a.subject is not null and b.subject is null then 'removed' else 'changed' end as status, n_fields
- from (select realm, subject, count(*) as n_fields from ({_DIFF}) group by 1, 2) d left join (select * from ({_AT.format(n=400).replace('as exists', 'as alive')}) where alive) a on a.realm = d.realm and a.subject = d.subject
- left join (select * from ({_AT.format(n=900).replace('as exists', 'as alive')}) where alive) b on b.realm = d.realm and b.subject = d.subject""", "ops")
+ from (select realm, subject, count(*) as n_fields from ({_DIFF}) group by 1, 2) d left join (select * from ({_AT.format(n=point_sql(5)).replace('as exists', 'as alive')}) where alive) a on a.realm = d.realm and a.subject = d.subject
+ left join (select * from ({_AT.format(n=point_sql(9)).replace('as exists', 'as alive')}) where alive) b on b.realm = d.realm and b.subject = d.subject""", "ops")
 def diff_subjects(spark, sf_dir):
-    return history.diff_subjects(src.ops(spark, sf_dir), 400, 900)
+    o = src.ops(spark, sf_dir)
+    return history.diff_subjects(o, point(o, 5), point(o, 9))
 
 
 _SIDE = "select p_partkey - p_partkey % 3 as id, {value} as value from part where p_partkey % 3 = {k}"
@@ -280,10 +293,10 @@ def merge_three_way(spark, sf_dir):
     return history.merge_three_way(*sides, ["id"])
 
 
-@query("select subject, max(value) filter (field = 'click') as click, max(value) filter (field = 'view') as view, max(value) filter (field = 'purchase') as purchase from (%s) where realm = 'table' group by 1" % _REPLAY.format(where=" where sequence <= 600"), "ops")
+@query("select subject, max(value) filter (field = 'click') as click, max(value) filter (field = 'view') as view, max(value) filter (field = 'purchase') as purchase from (%s) where realm = 'table' group by 1" % _REPLAY.format(where=f" where sequence <= {point_sql(5)}"), "ops")
 def table_rows_at(spark, sf_dir):
-    rows = history.rows_at(src.ops(spark, sf_dir), "table", 600, ["click", "view", "purchase"])
-    return rows
+    o = src.ops(spark, sf_dir)
+    return history.rows_at(o, "table", point(o, 5), ["click", "view", "purchase"])
 
 
 @query("""select actor, realm, x.sequence as sequence, x.verb as verb, x.subject as subject, n from (select actor, realm, arg_max({'sequence': sequence, 'verb': verb, 'subject': subject}, {'r': case verb when 'delete' then 2 when 'create' then 1 else 0 end, 's': sequence}) as x, count(*) as n from ops group by 1, 2)""", "ops")
@@ -436,15 +449,22 @@ def stored_patterns(spark, sf_dir):
     return quality.stored_pattern(src.keyspace(spark, sf_dir), spark.createDataFrame(_PATTERNS, "pattern string, classification string"))
 
 
-def _reading_sql(where: str) -> str:
-    return f"select count(*) as row_count, max(c_custkey) as max_key, max(c_nationkey) as max_changed from customer where {where}"
+def _reading_sql(changed: str) -> str:
+    return f"""select count(*) as row_count, max(c_custkey) as max_key, max({changed}) as max_changed,
+ (select sha256(string_agg(concat(c_custkey, '|', {changed}), chr(10) order by c_custkey)) from (select * from customer order by c_custkey limit 200)) as digest from customer"""
+
+
+_DRIFT = f"""select 'customer' as table_name, case when a.row_count is not distinct from b.row_count and a.max_key is not distinct from b.max_key and a.max_changed is not distinct from b.max_changed and a.digest is not distinct from b.digest then 'unchanged' else 'drifted' end as state,
+ concat_ws(',', case when a.row_count is distinct from b.row_count then 'row_count' end, case when a.max_key is distinct from b.max_key then 'max_key' end, case when a.max_changed is distinct from b.max_changed then 'max_changed' end, case when a.digest is distinct from b.digest then 'digest' end) as differs
+ from ({_reading_sql('c_nationkey')}) a, ({_reading_sql('(c_nationkey + 7) % 25')}) b"""
 
 
-@query(f"select 'customer' as table_name, case when a.row_count is not distinct from b.row_count and a.max_key is not distinct from b.max_key and a.max_changed is not distinct from b.max_changed then 'unchanged' else 'drifted' end as state, concat_ws(',', case when a.row_count is distinct from b.row_count then 'row_count' end, case when a.max_key is distinct from b.max_key then 'max_key' end, case when a.max_changed is distinct from b.max_changed then 'max_changed' end) as differs from ({_reading_sql('c_custkey % 3 <> 0')}) a, ({_reading_sql('c_custkey % 5 <> 0')}) b")
+@query(_DRIFT)
 def table_drift(spark, sf_dir):
+    """Whole readings of a table and of what it was before a column was rewritten."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    now, then = (quality.reading(c.where(F.col("c_custkey") % k != 0), "customer", "c_custkey", "c_nationkey").withColumn("digest", F.lit("")) for k in (3, 5))
-    return quality.drift(now, then)
+    before = c.withColumn("c_nationkey", (F.col("c_nationkey") + 7) % 25)
+    return quality.drift(*(quality.reading(x, "customer", "c_custkey", "c_nationkey") for x in (c, before)))
 
 
 @query()
@@ -464,17 +484,32 @@ def drill_sample(spark, sf_dir):
     return quality.stride_sample(src.ops(spark, sf_dir).select("subject").distinct(), "subject", 25)
 
 
-@query(f"select a.realm, a.subject, count(*) as compared, count(case when a.value is distinct from b.value then 1 end) as differed, case when count(case when a.value is distinct from b.value then 1 end) > 0 then 'fail' else 'pass' end as verdict from ({_REPLAY.format(where=' where sequence <= 800')}) a join ({_REPLAY.format(where='')}) b on a.realm = b.realm and a.subject = b.subject and a.field = b.field group by 1, 2", "ops")
+@query(f"select a.realm, a.subject, count(*) as compared, count(case when a.value is distinct from b.value then 1 end) as differed, case when count(case when a.value is distinct from b.value then 1 end) > 0 then 'fail' else 'pass' end as verdict from ({_REPLAY.format(where=f' where sequence <= {point_sql(9)}')}) a join ({_REPLAY.format(where='')}) b on a.realm = b.realm and a.subject = b.subject and a.field = b.field group by 1, 2", "ops")
 def drill_compare(spark, sf_dir):
     o = src.ops(spark, sf_dir)
-    return quality.drill(history.replay(o, 800), history.replay(o), ["realm", "subject"])
+    return quality.drill(history.replay(o, point(o, 9)), history.replay(o), ["realm", "subject"])
 
 
-@query("select * from (values ('frame.unindexed', 2, 'reindex'), ('delta.chain_too_deep', 1, 'observe'), ('flush.stale', 1, 'observe'), ('watermark.drift', 1, 'observe'), ('classification.unclassified_growth', 1, 'observe')) t(code, severity, rung)")
+_LAG = "(select (max(microtime) - (select max(microtime) from ops where sequence <= (select max(sequence) // 2 from ops))) // 1000000 from ops)"
+
+
+@query(f"""select code, severity, rung from (select 'commit.parent_missing' as code, 3 as severity, 'quarantine' as rung, (select count(*) from commits where parent_no is null) > 1 as fires
+ union all select 'delta.chain_too_deep', 1, 'observe', (select max(n) - 1 from (select count(*) as n from ops group by realm, subject)) > 32
+ union all select 'flush.stale', 1, 'observe', {_LAG} > 86400
+ union all select 'watermark.drift', 1, 'observe', (select state from ({_DRIFT})) = 'drifted'
+ union all select 'classification.unclassified_growth', 1, 'observe', (select count(case when {_CLASS} = 'unclassified' then 1 end) * 4 > count(*) and count(*) >= 100 from keyspace)) where fires""", "ops", "commits", "keyspace")
 def trip_wires(spark, sf_dir):
+    """What the tables show: roots but the first, versions of a subject as the chain that deltas would form, time since half of
+    the journal was sealed, drift, and keys without a class. No table has frames without index or cut segments, so these wires see 0."""
+    o = src.ops(spark, sf_dir)
+    half = point(o, 5)
     roots = src.commits(spark, sf_dir).agg((F.count_if(F.col("parent_no").isNull()) - 1).alias("missing_parents"))
-    fixed = {"missing_frames": 0, "unindexed": 2, "deepest": 40, "lag_seconds": 90_000, "short_segments": 0, "drifted": 1, "classified": 30, "unclassified": 90}
-    return quality.tripwires(roots.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()]))
+    depth = o.groupBy("realm", "subject").count().agg((F.max("count") - 1).alias("deepest"))
+    lag = o.agg(F.expr(f"(max(microtime) - max(microtime) filter (where sequence <= {half})) div 1000000").alias("lag_seconds"))
+    drifted = table_drift(spark, sf_dir).agg(F.count_if(F.col("state") == "drifted").alias("drifted"))
+    keys = quality.unclassified_growth(quality.discover(src.keyspace(spark, sf_dir))).select((F.col("total") - F.col("unclassified")).alias("classified"), "unclassified")
+    seen = roots.crossJoin(depth).crossJoin(lag).crossJoin(drifted).crossJoin(keys)  # a row each
+    return quality.tripwires(seen.select("*", *[F.lit(0).alias(k) for k in ("missing_frames", "unindexed", "short_segments")]))
 
 
 @query(f"select o_orderkey as id, age, case {' '.join(f'when age >= {a} then {t}' for t, a in reversed(policy.TIERS[1:]))} else 0 end as tier from (select o_orderkey, 1000000000 - epoch_us(o_orderdate) // 1000000 as age from orders)")
@@ -506,7 +541,7 @@ def rollups_due(spark, sf_dir):
     return policy.due_for_rollup(seg, 1_706_000_000)
 
 
-@query("select day, requests, round(greatest(bytes / 2000.0, requests * 2629800.0 / 86400 / 1500.0), 6) as share, case when greatest(bytes / 2000.0, requests * 2629800.0 / 86400 / 1500.0) >= 1.5 then 'pause_all' when round(greatest(bytes / 2000.0, requests * 2629800.0 / 86400 / 1500.0), 6) >= 1.25 then 'pause_files' when round(greatest(bytes / 2000.0, requests * 2629800.0 / 86400 / 1500.0), 6) >= 1.0 then 'slow' when round(greatest(bytes / 2000.0, requests * 2629800.0 / 86400 / 1500.0), 6) >= 0.8 then 'warn' else 'none' end as action from (select day, cast(sum(requests) as bigint) as requests, cast(sum(bytes) as bigint) as bytes from provider_stat group by 1)", "provider_stat")
+@query("select day, requests, round(greatest(bytes / 2000.0, requests * 2630016.0 / 86400 / 1500.0), 6) as share, case when greatest(bytes / 2000.0, requests * 2630016.0 / 86400 / 1500.0) >= 1.5 then 'pause_all' when round(greatest(bytes / 2000.0, requests * 2630016.0 / 86400 / 1500.0), 6) >= 1.25 then 'pause_files' when round(greatest(bytes / 2000.0, requests * 2630016.0 / 86400 / 1500.0), 6) >= 1.0 then 'slow' when round(greatest(bytes / 2000.0, requests * 2630016.0 / 86400 / 1500.0), 6) >= 0.8 then 'warn' else 'none' end as action from (select day, cast(sum(requests) as bigint) as requests, cast(sum(bytes) as bigint) as bytes from provider_stat group by 1)", "provider_stat")
 def budget_by_day(spark, sf_dir):
     use = src.provider_stat(spark, sf_dir).groupBy("day").agg(F.sum("requests").cast("long").alias("requests"), F.sum("bytes").cast("long").alias("bytes"))
     return policy.assess_budget(use, "bytes", "requests", F.lit(86_400), 2000.0, 1500.0).drop("bytes")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write df in the shared folder that spark.checkpoint.dir names (a folder for tests if unset) and read it back."""
+    """Write df in the shared folder that spark.checkpoint.dir names and read it back; it may be unset only where all of Spark is on this machine."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/annalist-checkpoints").rstrip("/")
-    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(folder or '/tmp/annalist-checkpoints').rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -96,6 +96,19 @@ def test_robust_score_of_a_jump(spark):
     assert rows[3]["score"] is None and not rows[19]["anomalous"] and rows[20]["anomalous"]
 
 
+def test_robust_score_without_spread(spark):
+    """As shares of the median where nothing has spread, and the sign at median 0."""
+
+    def last(values, **how):
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "t long, v double")
+        return timeline.robust_scores(df, "t", "v", **how).orderBy(F.desc("t")).first()
+
+    assert last([5] * 10 + [10], floor=0.0)["score"] == 1.0 and not last([5] * 10 + [10], floor=0.0)["anomalous"]
+    assert last([0] * 10 + [3])["score"] == 1.0 and last([0] * 10 + [-3])["score"] == -1.0 and last([0] * 10 + [0])["score"] == 0.0
+    assert last([10, 11, 9, 10, 10, 11, 9, 10, 10, 90])["anomalous"] and not last([10, 11, 9, 10, 10, 11, 9, 10, 10, 90], fall_only=F.lit(True))["anomalous"]
+    assert last([10, 11, 9, 10, 10, 11, 9, 10, 10, 1], fall_only=F.lit(True))["anomalous"]
+
+
 def test_blocks_of_edge_texts(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "ab" * 1024), (4, "é" * 700)], "id long, text string")
     got = {}
