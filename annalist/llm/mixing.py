@@ -22,13 +22,20 @@ def token_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, SPACES, "")) + 1).cast("long")
 
 
-def hashed_topic(text: Column, topics: int = 8) -> Column:
-    """A stand-in for a topic label: words are dealt to classes by hash, and the class that most of the text's plain words of
-    six letters or more are in is its topic (the least of equal ones; -1: there is no such word)."""
+def with_topic(docs: DataFrame, text: Column, name: str = "_topic", topics: int = 8) -> DataFrame:
+    """docs with a stand-in for a topic label: words are dealt to classes by their second and fifth letters, and the class that
+    most of the text's plain words of six letters or more are in is its topic (the least of equal ones; -1: no such word).
+
+    Each step is a column of its own that the next one uses several times, so that no step is computed again and again.
+    """
+    letter = lambda w, n: F.ascii(F.substring(w, n, 1))
+    of_class = lambda k: F.size(F.filter("_mix_classes", lambda c: c == k))
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{6,}"), F.lit(0))
-    classes = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(topics)))
-    counts = F.transform(F.array(*[F.lit(t) for t in range(topics)]), lambda t: F.size(F.filter(classes, lambda c: c == t)))
-    return F.when(F.size(words) == 0, F.lit(-1)).otherwise(F.array_position(counts, F.array_max(counts)) - 1).cast("int")
+    out = docs.withColumn("_mix_classes", F.transform(words, lambda w: (letter(w, 2) * 7 + letter(w, 5)) % topics))
+    out = out.withColumn("_mix_counts", F.array(*map(of_class, range(topics))))
+    most = F.array_max("_mix_counts")
+    topic = F.when(most == 0, F.lit(-1)).otherwise(F.array_position("_mix_counts", most) - 1).cast("int")
+    return out.withColumn(name, topic).drop("_mix_classes", "_mix_counts")
 
 
 def unit(key: Column) -> Column:
@@ -96,9 +103,9 @@ def mix_documents(docs: DataFrame, dims: dict[str, Column], tokens: Column, key:
 
 
 def corpus_mix(docs: DataFrame, budget: float = 0.5, power: float = 0.5) -> DataFrame:
-    """mix_documents() over source, language and hashed topic, with word counts as tokens."""
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": hashed_topic(F.col("text"))}
-    return mix_documents(docs, dims, token_count(F.col("text")), F.col("doc_id"), budget, power)
+    """mix_documents() over source, language and topic (see with_topic()), with word counts as tokens."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}
+    return mix_documents(with_topic(docs, F.col("text")), dims, token_count(F.col("text")), F.col("doc_id"), budget, power).drop("_topic")
 
 
 def _sql_rounds(rounds: int, budget: float) -> str:
@@ -119,7 +126,7 @@ def mix_sql(table: str = "documents", columns: str = "doc_id, source as mix_sour
     shares = ", ".join(f"s_{d} as (select {d}, pow(sum(n), {power}) / sum(pow(sum(n), {power})) over () as share_{d} from cells group by {d} having sum(n) > 0)" for d in ("source", "lang", "topic"))
     joins = " ".join(f"left join s_{d} on cells.{d} is not distinct from s_{d}.{d}" for d in ("source", "lang", "topic"))
     return f"""
-with tagged0 as (select *, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{6,}}'), lambda w: cast(('0x' || substr(md5(w), 1, 6)) as bigint) % 8) as classes from {table}),
+with tagged0 as (select *, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{6,}}'), lambda w: (ascii(substr(w, 2, 1)) * 7 + ascii(substr(w, 5, 1))) % 8) as classes from {table}),
 tagged1 as (select *, list_transform(range(8), lambda t: len(list_filter(classes, lambda c: c = t))) as counts from tagged0),
 tagged as (select *, case when len(classes) = 0 then -1 else list_position(counts, list_max(counts)) - 1 end as topic,
   case when coalesce(length(text), 0) = 0 then 0 else length(text) - length(translate(text, {spaces}, '')) + 1 end as tokens from tagged1),
