@@ -49,3 +49,19 @@ def redact(text: Column) -> Column:
 def valid_name(name: Column) -> Column:
     """Lower-case letters, digits, - _ . /, 1 to 64 of them, starting with a letter or digit, without .. in it."""
     return name.rlike(r"^[a-z0-9][a-z0-9._/-]{0,63}$") & ~name.contains("..")
+
+
+def clip(text: Column, most: int) -> Column:
+    """A text of at most so many characters; a longer one ends with three dots. Null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
+
+
+def range_header(start: Column, length: Column) -> Column:
+    """The header of a request for a byte range."""
+    return F.concat(F.lit("bytes="), start.cast("string"), F.lit("-"), (start + length - 1).cast("string"))
+
+
+def part_size(total: Column, least: int = 5_242_880, most_parts: int = 10_000) -> Column:
+    """Bytes a part of an upload needs so that there are no more than most_parts."""
+    return F.greatest(F.lit(least), F.floor((total + (most_parts - 1)) / most_parts)).cast("long")

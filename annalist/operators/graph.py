@@ -6,7 +6,7 @@ result is written to the shared folder, so lineage stays short and a lost execut
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -31,12 +31,13 @@ def within(edges: DataFrame, doublings: int) -> DataFrame:
     return near
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, doublings: int = 5, limit: int = 100_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, doublings: int = 5, limit: int = 100_000, hops: DataFrame | None = None) -> DataFrame:
     """(node, depth) of all nodes that are reached from seeds (node) along child to parent, with the fewest steps.
 
     A round takes 2 ** doublings steps, by a table of the pairs so near, and goes on from the nodes it found or found nearer.
+    Several walks over the same edges share that table if hops, of within(), is given.
     """
-    hops = within(edges, doublings)
+    hops = within(edges, doublings) if hops is None else hops
     known = staged(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = known
     for _ in range(limit):
@@ -45,34 +46,42 @@ def reachable(edges: DataFrame, seeds: DataFrame, doublings: int = 5, limit: int
         if not frontier.limit(1).count():
             break
         known = staged(known.union(frontier).groupBy("node").agg(F.min("depth").alias("depth")))
+    else:
+        raise ValueError(f"the walk wasn't at its end after {limit} rounds")
     return known
 
 
-def chain(edges: DataFrame, commits: DataFrame, tip: int, doublings: int = 20) -> DataFrame:
-    """(node, depth) along first parents from a tip, by pointer doubling: log2 of the length in rounds, not one a commit."""
-    parent = edges.where("side = 0").select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    walked = commits.sparkSession.createDataFrame([(tip, 0)], "node long, depth long")
-    jump = staged(parent)
-    for k in range(doublings):
+def follow(start: DataFrame, jump: DataFrame) -> DataFrame:
+    """(node, depth) from start (node, depth) along jump (node, up; one a node), by pointer doubling: log2 of the length in rounds."""
+    walked, jump = start.select("node", F.col("depth").cast("long")), staged(jump.select("node", "up"))
+    for k in range(62):
         more = walked.join(jump, "node").select(F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         walked = staged(walked.union(more))
         jump = staged(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")))
         if not jump.limit(1).count():
-            break
-    return walked
+            return walked
+    raise ValueError("the pointers run in a circle")
+
+
+def chain(edges: DataFrame, commits: DataFrame, tip: int) -> DataFrame:
+    """(node, depth) along first parents from a tip."""
+    parent = edges.where("side = 0").select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    return follow(commits.sparkSession.createDataFrame([(tip, 0)], "node long, depth long"), parent)
 
 
 def merge_base(edges: DataFrame, left: int, right: int) -> DataFrame:
     """The nearest commit to right (fewest steps, then the largest number) that left also descends from: commit_no, depth."""
     spark = edges.sparkSession
-    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"))
+    hops = within(edges, 5)
+    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"), hops=hops)
     return of(right).join(of(left).select("node"), "node", "left_semi").orderBy("depth", F.desc("node")).limit(1).select(F.col("node").alias("commit_no"), "depth")
 
 
 def touched(ops: DataFrame, edges: DataFrame, tip: int, base: int) -> DataFrame:
     """Subjects that commits reachable from tip but not from base touched: realm, subject, n."""
     spark = edges.sparkSession
-    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"))
+    hops = within(edges, 5)
+    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"), hops=hops)
     ahead = of(tip).join(of(base).select("node"), "node", "left_anti").select(F.col("node").alias("commit_no"))
     return ops.join(ahead, "commit_no", "left_semi").groupBy("realm", "subject").agg(F.count("*").alias("n"))
 
@@ -99,3 +108,99 @@ def resolve_anchor(entries: DataFrame) -> DataFrame:
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges to commits that aren't there: a walk over these is incomplete, and pruning must refuse."""
     return edges.join(nodes.select(F.col("commit_no").alias("parent")), "parent", "left_anti").select("child", "parent")
+
+
+def chain_depths(frames: DataFrame) -> DataFrame:
+    """(hash, depth): links from each frame (hash, parent; one row a hash) to the last frame of its chain that is there.
+
+    Pointer doubling, log2 of the deepest chain in rounds. A frame without a parent, or whose parent isn't there, is at 0.
+    """
+    known = frames.select(F.col("hash").alias("parent"), F.lit(True).alias("_there"))
+    at = frames.select("hash", "parent").join(known, "parent", "left").select("hash", F.when(F.col("_there"), F.col("parent")).alias("up"))
+    at = staged(at.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")))
+    for _ in range(62):
+        if not at.where("up is not null").limit(1).count():
+            return at.select("hash", "depth")
+        on = at.select(F.col("hash").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        at = staged(at.join(on, "up", "left").select("hash", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+    raise ValueError("the chains run in a circle")
+
+
+def deepest_chains(depths: DataFrame, least: int, limit: int = 100) -> DataFrame:
+    """The deepest delta frames from a depth on: hash, depth; of equal ones the least hash first."""
+    return depths.where((F.col("depth") >= least) & (F.col("depth") > 0)).orderBy(F.desc("depth"), "hash").limit(limit)
+
+
+def reanchor(frames: DataFrame, cap: int = 32, budget: int = 200) -> DataFrame:
+    """(hash, before, after) of frames in chains, where the deepest `budget` of those past the cap are written without a parent."""
+    before = staged(chain_depths(frames))
+    alone = deepest_chains(before, cap + 1, budget).select("hash", F.lit(True).alias("_alone"))
+    rewritten = frames.join(alone, "hash", "left").select("hash", F.when(F.col("_alone").isNull(), F.col("parent")).alias("parent"))
+    return before.where("depth > 0").withColumnRenamed("depth", "before").join(chain_depths(rewritten).withColumnRenamed("depth", "after"), "hash")
+
+
+def anchors_due(commits: DataFrame, interval: int = 14_400, full_every: int = 24) -> DataFrame:
+    """The commits (history, microtime) that write an anchor: history, microtime, number, full.
+
+    The first one does, then each that is `interval` seconds or more after the anchor before; every full_every-th anchor is
+    full. Each commit points at the one that would be next after it; the anchors are what these pointers reach.
+    """
+    w = Window.partitionBy("history").orderBy("microtime").rangeBetween(interval * 1_000_000, Window.unboundedFollowing)
+    node = lambda t: F.struct("history", F.col(t).alias("microtime"))
+    rows = staged(commits.select("history", "microtime").distinct().withColumn("next", F.min("microtime").over(w)))
+    start = rows.groupBy("history").agg(F.min("microtime").alias("microtime")).select(node("microtime").alias("node"), F.lit(0).alias("depth"))
+    jump = rows.where("next is not null").select(node("microtime").alias("node"), node("next").alias("up"))
+    return follow(start, jump).select("node.history", "node.microtime", F.col("depth").alias("number"), (F.col("depth") % full_every == 0).alias("full"))
+
+
+def live_objects(edges: DataFrame, refs: DataFrame, anchors: DataFrame, anchor_parents: DataFrame, names: DataFrame, frame_parents: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """(kind, id) of all that refs (node) need: commits, their anchors back to a full one, the frames both name, delta parents, dictionaries.
+
+    anchors: commit_no, anchor. anchor_parents, frame_parents: child, parent (a full anchor has none). names: kind ("commit" or
+    "anchor"), owner, frame. dictionaries: frame, dictionary. Named objects that aren't there are live too: live_counts() and verify() tell.
+    """
+    commits = staged(reachable(edges, refs).select(F.col("node").alias("owner")))
+    tips = anchors.join(commits.withColumnRenamed("owner", "commit_no"), "commit_no", "left_semi").select(F.col("anchor").alias("node"))
+    bases = staged(reachable(anchor_parents, tips).select(F.col("node").alias("owner")))
+    owners = commits.withColumn("kind", F.lit("commit")).union(bases.withColumn("kind", F.lit("anchor")))
+    seeds = names.join(owners, ["kind", "owner"], "left_semi").select(F.col("frame").alias("node")).distinct()
+    frames = staged(reachable(frame_parents, seeds, doublings=3).select(F.col("node").alias("frame")))
+    used = dictionaries.join(frames, "frame", "left_semi").select("dictionary").distinct()
+    kinds = {"commit": commits, "anchor": bases, "frame": frames, "dictionary": used}
+    out = [df.toDF("id").select(F.lit(kind).alias("kind"), "id") for kind, df in kinds.items()]
+    return staged(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]))
+
+
+def live_counts(live: DataFrame, present: DataFrame) -> DataFrame:
+    """One row: live commits, anchors, frames, dictionaries, and the live objects that aren't among the present ones (kind, id)."""
+    there = live.join(present.withColumn("_p", F.lit(True)).distinct(), ["kind", "id"], "left")
+    return there.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("commit", "anchor", "frame")], F.count_if(F.col("kind") == "dictionary").alias("dictionaries"), F.count_if(F.col("_p").isNull()).alias("unreadable"))
+
+
+def reasons(present: DataFrame, live: DataFrame, referenced: DataFrame) -> DataFrame:
+    """Why each present object (kind, id) must stay, null if nothing needs it. referenced: (id, n) frames with references by dictionary."""
+    out = present.join(live.withColumn("_live", F.lit(True)), ["kind", "id"], "left").join(referenced.select("id", F.col("n").alias("_n"), F.lit("dictionary").alias("kind")), ["kind", "id"], "left")
+    text = F.when(F.col("kind") == "commit", "reached from a ref").when(F.col("kind") == "anchor", "a reachable commit needs it").when(F.col("kind") == "frame", "a live object names it").otherwise("a live frame needs it")
+    return out.select("kind", "id", F.when(F.col("_live"), text).when(F.col("_n") > 0, F.concat(F.col("_n").cast("string"), F.lit(" referenced frames need it"))).alias("reason"))
+
+
+def verify(edges: DataFrame, refs: DataFrame, live: DataFrame, present: DataFrame, frame_parents: DataFrame, contents: DataFrame, cap: int = 32) -> DataFrame:
+    """Findings (code, scope) of a sweep over everything live, each an anti join against what is present (kind, id).
+
+    frame_parents also gives the depth of chains; contents: (frame, body, digest) is hashed again.
+    """
+    there = lambda kind: present.where(F.col("kind") == kind).select("id")
+    gone = live.join(present, ["kind", "id"], "left_anti")
+    found = gone.where("kind in ('anchor', 'frame')").select(F.concat("kind", F.lit(".missing")).alias("code"), "id")
+    found = found.union(gone.where("kind = 'dictionary'").select(F.lit("dict.missing"), "id"))
+    found = found.union(refs.select(F.col("node").alias("id")).join(there("commit"), "id", "left_anti").select(F.lit("ref.missing"), "id"))
+    mine = edges.join(live.where("kind = 'commit'").select(F.col("id").alias("child")), "child", "left_semi")
+    found = found.union(mine.join(there("commit").withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("commit.parent_missing"), F.col("child")).distinct())
+    needed = live.where("kind = 'frame'").select(F.col("id").alias("child"))
+    links = frame_parents.join(needed, "child", "left_semi")
+    found = found.union(links.join(there("frame").withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("delta.parent_missing"), "child"))
+    deep = chain_depths(frame_parents.select(F.col("child").alias("hash"), "parent").unionByName(frame_parents.select(F.col("parent").alias("hash")).distinct().join(frame_parents.select(F.col("child").alias("hash")), "hash", "left_anti").withColumn("parent", F.lit(None).cast("long"))))
+    found = found.union(deep.where(F.col("depth") > cap).join(needed.withColumnRenamed("child", "hash"), "hash", "left_semi").select(F.lit("delta.chain_too_deep"), "hash"))
+    wrong = contents.where(~F.sha2("body", 256).eqNullSafe(F.col("digest"))).select(F.col("frame").alias("id"))
+    found = found.union(wrong.join(needed.withColumnRenamed("child", "id"), "id", "left_semi").select(F.lit("frame.hash_mismatch"), "id"))
+    return found.select("code", F.col("id").alias("scope"))

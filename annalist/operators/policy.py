@@ -77,3 +77,91 @@ def tiers_needed(wanted: DataFrame, placement: DataFrame, tiers: tuple = TIERS)
     placed = wanted.join(placement.select("object_key", "tier"), "object_key", "left")
     at = F.explode(F.when(F.col("tier").isNull(), F.array(*[F.lit(t) for t, _ in tiers])).otherwise(F.array(F.col("tier").cast("int"))))
     return placed.select("object_key", "bytes", F.col("tier").isNull().alias("unplaced"), at.alias("at")).groupBy(F.col("at").alias("tier")).agg(F.count("*").alias("objects"), F.sum("bytes").cast("long").alias("bytes"), F.count_if(F.col("unplaced")).alias("unplaced"))
+
+
+def free_use(use: DataFrame, free: dict[str, int]) -> DataFrame:
+    """use (storage, writes, reads) against free allowances: share and headroom of each axis, fits, and the axis nearest its end.
+
+    Without an allowance a share is 0. Of equal shares the first of storage, writes, reads binds; without any allowance none does.
+    """
+    axes = ("storage", "writes", "reads")
+    share = {a: F.col(a) / F.lit(float(free[a])) if free[a] > 0 else F.lit(0.0) for a in axes}
+    most = F.greatest(*share.values())
+    binding = reduce(lambda c, a: F.when(share[a] == most, a).otherwise(c), reversed(axes), F.lit(None).cast("string"))
+    some = any(free[a] > 0 for a in axes)
+    fits = reduce(lambda c, a: c & (F.col(a) <= free[a]), axes, F.lit(some))
+    return use.select("*", *[F.round(share[a], 6).alias(f"{a}_share") for a in axes], *[F.greatest(F.lit(0), F.lit(free[a]) - F.col(a)).cast("long").alias(f"{a}_left") for a in axes], fits.alias("fits"), (binding if some else F.lit("")).alias("binding"))
+
+
+def capacity(fits, ceiling: int = 100_000_000, steps: int = 24) -> Column:
+    """The largest number of users that fits, by halving: fits is a function from a column (users) to a condition that holds up to some number.
+
+    0 if one user doesn't fit, the ceiling if that many do. After `steps` halvings the lower end is given.
+    """
+    start = F.struct(F.lit(1).cast("long").alias("low"), F.lit(ceiling).cast("long").alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("long")
+        open_, ok = at["high"] - at["low"] > 1, fits(middle)
+        return F.struct(F.when(open_ & ok, middle).otherwise(at["low"]).alias("low"), F.when(open_ & ~ok, middle).otherwise(at["high"]).alias("high"))
+
+    low = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["low"]
+    return F.when(~fits(F.lit(1).cast("long")), F.lit(0).cast("long")).when(fits(F.lit(ceiling).cast("long")), F.lit(ceiling).cast("long")).otherwise(low)
+
+
+def with_tier(tiers: Column, tier: Column) -> Column:
+    """A placement (sorted tiers) with one more tier."""
+    return F.array_sort(F.array_union(tiers, F.array(tier)))
+
+
+def without_tier(tiers: Column, tier: Column) -> Column:
+    """A placement with a tier less."""
+    return F.array_remove(tiers, tier)
+
+
+def read_order(tiers: Column, pinned: Column, ladder: tuple = TIERS) -> Column:
+    """Tiers to try for an object: those recorded that exist, then the others from near to far. A pinned object is only in the nearest."""
+    all_ = F.array(*[F.lit(t) for t, _ in ladder])
+    known = F.filter(F.coalesce(tiers, F.array().cast("array<int>")), lambda t: F.array_contains(all_, t))
+    return F.when(pinned, F.array(F.lit(ladder[0][0]))).otherwise(F.array_union(known, all_))
+
+
+def rebuild_placement(listing: DataFrame) -> DataFrame:
+    """Placements from what every tier lists (object_key, tier, bytes, recorded): tiers, bytes of the nearest copy, newest moment."""
+    return listing.groupBy("object_key").agg(F.array_sort(F.collect_set("tier")).alias("tiers"), F.min_by("bytes", "tier").alias("bytes"), F.max("recorded").alias("recorded"))
+
+
+def copy_proof(near: DataFrame, far: DataFrame) -> DataFrame:
+    """Whether the near copy of each object (object_key, digest) may go: proved, differs or absent."""
+    out = near.join(far.select("object_key", F.col("digest").alias("_far"), F.lit(True).alias("_there")), "object_key", "left")
+    return out.select("object_key", F.when(F.col("_there").isNull(), "absent").when(F.col("digest") == F.col("_far"), "proved").otherwise("differs").alias("proof"))
+
+
+def nearer_dependents(moves: DataFrame, frames: DataFrame, placement: DataFrame) -> DataFrame:
+    """Planned moves (object_key, target) that must wait: frames of theirs are the delta parents of frames nearer, or of unknown place.
+
+    frames: hash, parent, object_key. placement: object_key, tier (a row a copy). Gives dependents nearer and of unknown place.
+    """
+    nearest = placement.groupBy("object_key").agg(F.min("tier").alias("_at"))
+    children = frames.where("parent is not null").select(F.col("parent").alias("hash"), "object_key").join(nearest, "object_key", "left").select("hash", "_at")
+    moved = moves.join(frames.select("hash", "object_key"), "object_key").join(children, "hash")
+    near, unknown = F.count_if(F.col("_at") < F.col("target")), F.count_if(F.col("_at").isNull())
+    return moved.groupBy("object_key", "target").agg(near.alias("nearer"), unknown.alias("unknown")).where("nearer + unknown > 0")
+
+
+def gauges(storage: DataFrame, commits: DataFrame, pending: DataFrame, open_by_severity: DataFrame, now: int) -> DataFrame:
+    """Readings as (name, value, unit, attribute), from one row each of storage (frames, raw, stored, orphans), and the tables.
+
+    pending: operations that no commit has. now is in microseconds; lag is 0 where there is no commit, and never negative.
+    """
+    c = commits.agg(F.count("*").alias("commits"), F.max("microtime").alias("newest"))
+    p = pending.agg(F.count("*").alias("pending"), F.coalesce(F.sum("payload_length"), F.lit(0)).alias("pending_bytes"), F.min("microtime").alias("oldest"))
+    one = storage.crossJoin(c).crossJoin(p)  # a row each
+    lag = lambda t: F.coalesce(F.greatest(F.lit(0.0), (F.lit(now) - F.col(t)) / 1e6), F.lit(0.0))
+    ratio = F.when(F.col("stored") > 0, F.col("raw") / F.col("stored")).otherwise(1.0)
+    values = [
+        ("stored_bytes", F.col("stored"), "By"), ("raw_bytes", F.col("raw"), "By"), ("frames", F.col("frames"), "{frame}"), ("orphan_frames", F.col("orphans"), "{frame}"), ("compression_ratio", F.round(ratio, 6), "1"),
+        ("commits", F.col("commits"), "{commit}"), ("rpo_lag_seconds", F.round(lag("newest"), 3), "s"), ("flush_lag_seconds", F.round(lag("oldest"), 3), "s"), ("journal_pending", F.col("pending"), "{operation}"), ("journal_pending_bytes", F.col("pending_bytes"), "By"),
+    ]
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(u).alias("unit"), F.lit("").alias("attribute")) for n, v, u in values])).alias("x")).select("x.*")
+    return rows.unionByName(open_by_severity.select(F.lit("open_findings").alias("name"), F.col("n").cast("double").alias("value"), F.lit("{finding}").alias("unit"), F.concat(F.lit("severity="), F.col("severity").cast("string")).alias("attribute")))

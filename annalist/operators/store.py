@@ -66,3 +66,32 @@ def record_references(stored: DataFrame, new: DataFrame) -> DataFrame:
 def shard_path(digest):
     """ab/cd/abcd... of a digest column."""
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
+
+
+def frames_per_dictionary(frames: DataFrame) -> DataFrame:
+    """Referenced frames by the dictionary they were compressed against."""
+    return frames.where("dictionary is not null and refs > 0").groupBy("dictionary").agg(F.count("*").alias("frames"))
+
+
+def trim(ops: DataFrame, through: int) -> DataFrame:
+    """The journal without what was sealed up to a sequence."""
+    return ops.where(F.col("sequence") > through)
+
+
+def forget(index: DataFrame, hashes: DataFrame, key: str = "hash") -> DataFrame:
+    """An index without the listed rows."""
+    return index.join(hashes.select(key), key, "left_anti")
+
+
+def cut(files: DataFrame, key: str, body: str, width: int) -> DataFrame:
+    """Blocks of a width in bytes: key, position, block (binary). Null and empty bodies have one empty block."""
+    b = F.coalesce(F.encode(F.col(body).cast("string"), "utf-8"), F.encode(F.lit(""), "utf-8"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.length(b) - 1, F.lit(0)) / width).cast("long")))
+    return files.select(key, b.alias("_b"), at.alias("position")).select(key, "position", F.substring("_b", (F.col("position") * width + 1).cast("int"), F.lit(width)).alias("block"))
+
+
+def reassemble(blocks: DataFrame, key: str) -> DataFrame:
+    """Files from their blocks in order of position: key, body (binary), pieces. A file must fit one row, as it does in the source."""
+    parts = F.array_sort(F.collect_list(F.struct("position", "block")))
+    out = blocks.groupBy(key).agg(parts.alias("_p"), F.count("*").alias("pieces"))
+    return out.select(key, F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["block"])), "")).alias("body"), "pieces")
