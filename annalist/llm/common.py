@@ -181,6 +181,8 @@ def components(edges: DataFrame, nodes_a: str = "a", nodes_b: str = "b") -> Data
         if sign == last:
             break
         last = sign
+    else:
+        raise ValueError("the components weren't found after 60 rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("root"))
     return roots.select(F.col("a").alias("node"), "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
