@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, digest, html_text, jaccard, mixing, packing, passages, suffix, toxicity
+from . import ann, chat, digest, divergence, html_text, jaccard, mixing, packing, passages, simhash, suffix, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +68,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op5_suffixes, op6_jaccard, op7_passages, op8_digest, op9_toxicity, op10_html)}
-ORACLE_SQL = {"op1_mixing": mixing.mix_sql()}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_packing, op4_chat, op5_suffixes, op6_jaccard, op7_passages, op8_digest, op9_toxicity, op10_html, op11_divergence, op12_simhash, op13_whitening)}
+ORACLE_SQL = {"op1_mixing": mixing.mix_sql(), "op11_divergence": divergence.audit_sql()}
