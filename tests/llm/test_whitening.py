@@ -91,7 +91,14 @@ def test_a_product_that_never_settles_is_an_error():
 def test_deviation_beyond_fast_whole_numbers(spark):
     v = np.random.default_rng(6).standard_normal((20, 3))
     v[0, 0], v[1, 0] = 2.2 * 2**19, -2.2 * 2**19
-    check(spark, list(enumerate(v.astype(np.float32).tolist())), within=1e-6)
+    rows = list(enumerate(v.astype(np.float32).tolist()))
+    got = whitening.whitened(spark.createDataFrame([(i, r, 0) for i, r in rows], SCHEMA)).where("component = 1").orderBy("vec_id").collect()
+    assert [r.deviation for r in got] == [sum(int(c) ** 2 for c in d) for d in plain_differences(rows)]
+
+
+def plain_differences(rows):
+    x = [[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for _, v in rows]
+    return [[len(x) * c - sum(column) for c, column in zip(v, zip(*x))] for v in x]
 
 
 def test_a_deviation_that_is_no_long_is_an_error(spark):
