@@ -97,49 +97,3 @@ def line_diff(pairs: DataFrame, key: str, before: str, after: str, most: int = 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "kind", "line_before", "line_after", "n_before", "n_after"])
 
     return pairs.select(key, before, after).mapInArrow(run, f"key {pairs.schema[key].dataType.simpleString()}, kind string, line_before long, line_after long, n_before long, n_after long")
-
-
-def flush_batches(ops: DataFrame, by: str = "realm", age: int = 15_000_000, count: int = 5000, size: int = 4 << 20) -> DataFrame:
-    """The micro-batches that a journal flushes in: by, batch, first and last sequence, operations, bytes, reason.
-
-    A batch ends before the operation at which its oldest is `age` microseconds old, and with the one that brings it to
-    `count` operations or `size` bytes. Each end depends on the last one, so a journal (by) is folded in order, batch by
-    batch, with one row of state.
-    """
-
-    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, state, number = key[0].as_py(), None, 0
-
-        def row(reason: str) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{by: name, "batch": number, "first_sequence": state[0], "last_sequence": state[1], "operations": state[3], "bytes": state[4], "reason": reason}])
-
-        for b in batches:
-            for seq, t, n in zip(b.column("sequence").to_pylist(), b.column("microtime").to_pylist(), b.column("payload_length").to_pylist()):
-                if state and t - state[2] >= age:
-                    yield row("age")
-                    state, number = None, number + 1
-                state = [seq, seq, t, 1, n or 0] if state is None else [state[0], seq, state[2], state[3] + 1, state[4] + (n or 0)]
-                if state[3] >= count or state[4] >= size:
-                    yield row("count" if state[3] >= count else "bytes")
-                    state, number = None, number + 1
-        if state:
-            yield row("end")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-        for b in batches:
-            keys = b.column(by).to_pylist()
-            start = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[start]:
-                    if held and name != keys[start]:
-                        yield from run((pa.scalar(name),), held)
-                        held = []
-                    name = keys[start]
-                    held.append(b.slice(start, i - start))
-                    start = i
-        if held:
-            yield from run((pa.scalar(name),), held)
-
-    rows = ops.select(by, "sequence", "microtime", "payload_length").repartition(by).sortWithinPartitions(by, "sequence")
-    return rows.mapInArrow(fold, f"{by} string, batch long, first_sequence long, last_sequence long, operations long, bytes long, reason string")

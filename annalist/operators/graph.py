@@ -1,7 +1,7 @@
 """The commit graph: ancestors, merge bases, what is reachable, what may be collected and what a removal frees.
 
-Walks are semi-naive joins: each round joins only the newest frontier with the edges and drops what is known, and its
-result is written to the shared folder, so lineage stays short and a lost executor costs one round.
+Walks over commits and anchors go by the levels of walks; delta chains of frames are short and are walked in plain rounds. What a
+level or a round gives is written to the shared folder, so lineage stays short and a lost executor costs one of them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
+from . import walks
 
 
 def edges(commits: DataFrame, every: int = 10, back: int = 3) -> DataFrame:
@@ -21,34 +22,19 @@ def edges(commits: DataFrame, every: int = 10, back: int = 3) -> DataFrame:
     return first.unionByName(merges.join(known, "parent", "left_semi").withColumn("side", F.lit(1)))
 
 
-def within(edges: DataFrame, doublings: int) -> DataFrame:
-    """(node, up, steps) of all pairs at most 2 ** doublings steps apart along child to parent, with the fewest steps."""
-    near = staged(edges.groupBy(F.col("child").alias("node"), F.col("parent").alias("up")).agg(F.lit(1).cast("long").alias("steps")))
-    for _ in range(doublings):
-        on = near.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        far = near.join(on, "up").select("node", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
-        near = staged(near.union(far).groupBy("node", "up").agg(F.min("steps").alias("steps")))
-    return near
-
-
-def reachable(edges: DataFrame, seeds: DataFrame, doublings: int = 5, limit: int = 100_000, hops: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, found: list[walks.Level] | None = None) -> DataFrame:
     """(node, depth) of all nodes that are reached from seeds (node) along child to parent, with the fewest steps.
 
-    A round takes 2 ** doublings steps, by a table of the pairs so near, and goes on from the nodes it found or found nearer.
-    Several walks over the same edges share that table if hops, of within(), is given.
+    Rounds grow with the logarithm of the history, see walks. Several walks over the same edges share its levels if they are given.
     """
-    hops = within(edges, doublings) if hops is None else hops
-    known = staged(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    frontier = known
-    for _ in range(limit):
-        found = frontier.join(hops, "node").groupBy(F.col("up").alias("node")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
-        frontier = staged(found.join(known.withColumnRenamed("depth", "_old"), "node", "left").where("_old is null or depth < _old").drop("_old"))
-        if not frontier.limit(1).count():
-            break
-        known = staged(known.union(frontier).groupBy("node").agg(F.min("depth").alias("depth")))
-    else:
-        raise ValueError(f"the walk wasn't at its end after {limit} rounds")
-    return known
+    start = seeds.select(F.lit(0).alias("label"), "node")
+    return walks.reached(found or walks.levels(edges), start).select("node", "depth")
+
+
+def reachable_of(edges: DataFrame, tips: list[int], found: list[walks.Level] | None = None) -> DataFrame:
+    """(label, node, depth) of what each tip reaches, all in one walk; label is the tip's place in the list."""
+    start = edges.sparkSession.createDataFrame([(k, t) for k, t in enumerate(tips)], "label int, node long")
+    return staged(walks.reached(found or walks.levels(edges), start))
 
 
 def follow(start: DataFrame, jump: DataFrame) -> DataFrame:
@@ -65,27 +51,47 @@ def follow(start: DataFrame, jump: DataFrame) -> DataFrame:
 
 def chain(edges: DataFrame, commits: DataFrame, tip: int) -> DataFrame:
     """(node, depth) along first parents from a tip."""
-    parent = edges.where("side = 0").select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    return follow(commits.sparkSession.createDataFrame([(tip, 0)], "node long, depth long"), parent)
+    return reachable(edges.where("side = 0"), commits.sparkSession.createDataFrame([(tip,)], "node long"))
+
+
+def common(both: DataFrame) -> DataFrame:
+    """Of what labels 0 and 1 reach (label, node, depth), the common node nearest to label 1 (fewest steps, then the largest): node, depth; or no row."""
+    left = both.where("label = 0").select("node")
+    return both.where("label = 1").join(left, "node", "left_semi").orderBy("depth", F.desc("node")).limit(1).select("node", "depth")
 
 
 def merge_base(edges: DataFrame, left: int, right: int) -> DataFrame:
     """The nearest commit to right (fewest steps, then the largest number) that left also descends from: commit_no, depth."""
-    spark = edges.sparkSession
-    hops = within(edges, 5)
-    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"), hops=hops)
-    return of(right).join(of(left).select("node"), "node", "left_semi").orderBy("depth", F.desc("node")).limit(1).select(F.col("node").alias("commit_no"), "depth")
+    return common(reachable_of(edges, [left, right])).withColumnRenamed("node", "commit_no")
 
 
 def touched(ops: DataFrame, edges: DataFrame, tip: int, base: int) -> DataFrame:
     """Subjects that commits reachable from tip but not from base touched: realm, subject, n."""
-    spark = edges.sparkSession
-    hops = within(edges, 5)
-    of = lambda n: reachable(edges, spark.createDataFrame([(n,)], "node long"), hops=hops)
-    ahead = of(tip).join(of(base).select("node"), "node", "left_anti").select(F.col("node").alias("commit_no"))
+    both = reachable_of(edges, [tip, base])
+    ahead = both.where("label = 0").join(both.where("label = 1").select("node"), "node", "left_anti").select(F.col("node").alias("commit_no"))
     return ops.join(ahead, "commit_no", "left_semi").groupBy("realm", "subject").agg(F.count("*").alias("n"))
 
 
+def prune_gate(edges: DataFrame, commits: DataFrame, refs: DataFrame, live: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
+    """One row that says whether pruning may go on: reached, missing_commits, looping_commits, unreadable, refuse, reason.
+
+    An incomplete walk reports too little as live, so pruning must refuse where a commit that refs (node) lead to isn't among commits
+    (commit_no), where a reached commit is its own ancestor, or where a live object (kind, id) isn't present. reason is the first of
+    these, null if there is none.
+    """
+    found = walks.levels(edges)
+    at = staged(reachable(edges, refs, found).select("node"))
+    missing = at.join(commits.select(F.col("commit_no").alias("node")), "node", "left_anti")
+    looping = walks.cycles(edges, found=found).join(at, "node", "left_semi")
+    counts = at.select(F.lit(1).alias("a"), F.lit(0).alias("m"), F.lit(0).alias("l"), F.lit(0).alias("u"))
+    counts = counts.union(missing.selectExpr("0", "1", "0", "0")).union(looping.selectExpr("0", "0", "1", "0"))
+    if live is not None:
+        counts = counts.union(live.where("kind <> 'commit'").join(present, ["kind", "id"], "left_anti").selectExpr("0", "0", "0", "1"))
+    row = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip("amlu", ("reached", "missing_commits", "looping_commits", "unreadable"))])
+    reason = F.when(F.col("looping_commits") > 0, "commits.loop").when(F.col("missing_commits") > 0, "commits.missing").when(F.col("unreadable") > 0, "objects.unreadable")
+    return row.withColumn("refuse", reason.isNotNull()).withColumn("reason", reason)
+
+
 def collectable(frames: DataFrame, live: DataFrame, parents: DataFrame) -> DataFrame:
     """Frames (hash, refs, stored) that nothing needs: no references, not live, and no live or referenced frame is coded against them."""
     needed = parents.join(frames.where("refs > 0").select("hash").union(live.select("hash")).distinct(), "hash", "left_semi").select(F.col("parent").alias("hash"))
@@ -164,7 +170,7 @@ def live_objects(edges: DataFrame, refs: DataFrame, anchors: DataFrame, anchor_p
     bases = staged(reachable(anchor_parents, tips).select(F.col("node").alias("owner")))
     owners = commits.withColumn("kind", F.lit("commit")).union(bases.withColumn("kind", F.lit("anchor")))
     seeds = names.join(owners, ["kind", "owner"], "left_semi").select(F.col("frame").alias("node")).distinct()
-    frames = staged(reachable(frame_parents, seeds, doublings=3).select(F.col("node").alias("frame")))
+    frames = staged(walks.in_rounds(frame_parents.select("child", "parent", F.lit(1).alias("steps")), seeds.select(F.lit(0).alias("label"), "node", F.lit(0).cast("long").alias("depth"))).select(F.col("node").alias("frame")))
     used = dictionaries.join(frames, "frame", "left_semi").select("dictionary").distinct()
     kinds = {"commit": commits, "anchor": bases, "frame": frames, "dictionary": used}
     out = [df.toDF("id").select(F.lit(kind).alias("kind"), "id") for kind, df in kinds.items()]
@@ -177,10 +183,14 @@ def live_counts(live: DataFrame, present: DataFrame) -> DataFrame:
     return there.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("commit", "anchor", "frame")], F.count_if(F.col("kind") == "dictionary").alias("dictionaries"), F.count_if(F.col("_p").isNull()).alias("unreadable"))
 
 
+#: Why an object must stay, by its kind.
+REASONS = {"commit": "reached from a ref", "anchor": "a reachable commit needs it", "frame": "a live object names it", "dictionary": "a live frame needs it"}
+
+
 def reasons(present: DataFrame, live: DataFrame, referenced: DataFrame) -> DataFrame:
     """Why each present object (kind, id) must stay, null if nothing needs it. referenced: (id, n) frames with references by dictionary."""
     out = present.join(live.withColumn("_live", F.lit(True)), ["kind", "id"], "left").join(referenced.select("id", F.col("n").alias("_n"), F.lit("dictionary").alias("kind")), ["kind", "id"], "left")
-    text = F.when(F.col("kind") == "commit", "reached from a ref").when(F.col("kind") == "anchor", "a reachable commit needs it").when(F.col("kind") == "frame", "a live object names it").otherwise("a live frame needs it")
+    text = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[F.col("kind")]
     return out.select("kind", "id", F.when(F.col("_live"), text).when(F.col("_n") > 0, F.concat(F.col("_n").cast("string"), F.lit(" referenced frames need it"))).alias("reason"))
 
 

@@ -6,30 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
-from . import graph
+from . import graph, walks
 from .history import REMOVALS, replay
 
 #: Realms that a restore never writes back, the shortest abbreviation of an id, statuses, outcomes.
 NOT_RESTORED, ABBREVIATION = ("ephemeral",), 8
 STATUSES, OUTCOMES = ("restorable", "degraded", "unrestorable"), ("unchanged", "ours", "theirs", "merged", "conflict")
+#: Why a subject isn't written: nothing of it can be read, only a part can, its realm is never written back.
+SKIPPED = ("nothing_usable", "partly_unreadable", "realm_not_restored")
 #: Fixed value: subjects that a refusal names.
 NAMED = 20
 
 
-def restore_plan(ops: DataFrame, until: int, fill_degraded: bool = False, not_restored: tuple[str, ...] = NOT_RESTORED) -> DataFrame:
-    """Subjects at a sequence as a restore would treat them: exists, versions, unreadable, status, writable.
+def restore_plan(ops: DataFrame, until: int, fill_degraded: bool = False, not_restored: tuple[str, ...] = NOT_RESTORED, named: DataFrame | None = None, commit: str | None = None) -> DataFrame:
+    """Subjects at a sequence as a restore would treat them: exists, versions, unreadable, status, writable, skipped, depth.
 
-    ops has a column readable. versions counts readable removals and payloads; without any a subject is unrestorable, with
-    unreadable operations beside them degraded. Degraded subjects are written only if fill_degraded. A null readable is
-    unreadable. Realms that aren't restored are left out.
+    The plan is of the subjects that are there, those whose last operation isn't a deletion; with named (realm, subject) it is of just these,
+    there or not. ops has a column readable (null: not readable). versions counts removals, which need no payload, and payloads
+    that can be read; an operation without payload is no loss. Without versions a subject is unrestorable, with unreadable payloads
+    beside them degraded, and degraded ones are written only if fill_degraded. skipped says why a subject isn't written. Realms that
+    aren't restored are left out; named ones in them are skipped. depth: commits (a column of ops) that are replayed, null if it isn't given.
     """
-    rows = ops.where((F.col("sequence") <= until) & ~F.coalesce(F.col("realm").isin(*not_restored), F.lit(False))).withColumn("_ok", F.coalesce("readable", F.lit(False)))
-    gone = F.col("verb").isin(*REMOVALS)
+    closed = lambda: F.coalesce(F.col("realm").isin(*not_restored), F.lit(False))
+    rows = ops.where((F.col("sequence") <= until) & ~closed())
+    gone, payload, readable = F.col("verb").isin(*REMOVALS), F.col("field_json").isNotNull(), F.coalesce("readable", F.lit(False))
+    told = F.when(gone | ~payload | readable, ~gone)
     out = rows.groupBy("realm", "subject").agg(
-        (~F.max_by("verb", "sequence").isin(*REMOVALS)).alias("exists"), F.count_if(F.col("_ok") & (gone | F.col("field_json").isNotNull())).alias("versions"), F.count_if(~F.col("_ok")).alias("unreadable")
+        F.coalesce(F.max_by(told, F.when(told.isNotNull(), F.col("sequence"))), F.lit(False)).alias("exists"), F.count_if(gone | payload & readable).alias("versions"),
+        F.count_if(~gone & payload & ~readable).alias("unreadable"), F.max_by("verb", "sequence").alias("_last"),
     )
+    if named is None:
+        out = out.where(~F.col("_last").eqNullSafe("delete"))
+    else:
+        both = out["realm"].eqNullSafe(named["realm"]) & out["subject"].eqNullSafe(named["subject"])
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        out = named.distinct().join(out, both, "left").select(named["realm"], named["subject"], F.coalesce("exists", F.lit(False)).alias("exists"), zero("versions"), zero("unreadable"))
     status = F.when(F.col("versions") == 0, "unrestorable").when(F.col("unreadable") == 0, "restorable").otherwise("degraded")
-    return out.withColumn("status", status).withColumn("writable", F.col("status").isin("restorable", *(["degraded"] if fill_degraded else [])))
+    out = out.withColumn("status", status).withColumn("writable", F.col("status").isin("restorable", *(["degraded"] if fill_degraded else [])) & ~closed())
+    why = F.when(closed(), SKIPPED[2]).when(F.col("status") == "unrestorable", SKIPPED[0]).when(F.col("status") == "degraded", SKIPPED[1])
+    out = out.withColumn("skipped", F.when(~F.col("writable"), why))
+    depth = ops.where(F.col("sequence") <= until).agg((F.count_distinct(commit) if commit else F.lit(None).cast("long")).alias("depth"))
+    return out.select("realm", "subject", "exists", "versions", "unreadable", "status", "writable", "skipped").crossJoin(depth)  # one row
 
 
 def counted(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -85,21 +102,25 @@ def merge_objects(base: DataFrame, ours: DataFrame, theirs: DataFrame, strategy:
 
 def branch_sets(edges: DataFrame, ours: int, theirs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What both tips reach and what their nearest common commit reaches, each (commit_no). Raises where there is no such commit."""
-    spark = edges.sparkSession
-    hops = graph.within(edges, 5)
-    of = lambda n: graph.reachable(edges, spark.createDataFrame([(n,)], "node long"), hops=hops)
-    a, b = of(ours), of(theirs)
-    base = b.join(a.select("node"), "node", "left_semi").orderBy("depth", F.desc("node")).select("node").first()
+    found = walks.levels(edges)
+    both = graph.reachable_of(edges, [ours, theirs], found)
+    base = graph.common(both).first()
     if base is None:
         raise ValueError("the two histories share no commit")
-    return tuple(x.select(F.col("node").alias("commit_no")) for x in (of(base[0]), a, b))
+    of = lambda df, k: df.where(F.col("label") == k).select(F.col("node").alias("commit_no"))
+    return of(graph.reachable_of(edges, [base["node"]], found), 0), of(both, 0), of(both, 1)
 
 
 def merge_plan(ops: DataFrame, sets: tuple[DataFrame, DataFrame, DataFrame], strategy: str = "refuse", realm: str = "config") -> DataFrame:
-    """merge_objects() of a realm's subjects that commits after the common one touched on either side. ops has commit_no; sets as of branch_sets()."""
+    """merge_objects() of a realm's subjects that commits after the common one touched on either side. ops has commit_no; sets as of branch_sets().
+
+    Where theirs has no commit after the common one, all of it is merged already and the plan is empty.
+    """
     base, ours, theirs = sets
     rows = ops.where(F.col("realm") == realm)
     ahead = ours.union(theirs).distinct().join(base, "commit_no", "left_anti")
+    if not theirs.join(base, "commit_no", "left_anti").limit(1).count():
+        ahead = ahead.limit(0)
     touched = staged(rows.join(ahead, "commit_no", "left_semi").select("subject").distinct())
     rows = rows.join(touched, "subject", "left_semi")
     at = lambda s: replay(rows.join(s, "commit_no", "left_semi")).select(F.col("subject").alias("object"), "field", "value")

@@ -17,9 +17,10 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 # --- restores -------------------------------------------------------------------------------------------------------
 
 _SEEN = "(select sequence, microtime, case when realm = 'state' and actor = 3 then 'ephemeral' else realm end as realm, subject, verb, field, case when sequence % 3 = 0 then null else field_json end as field_json, sequence % 40 != 7 and subject not like '%1' as readable from ops)"
-_PLAN = f"""(select *, status = 'restorable' as writable from (select *, case when versions = 0 then 'unrestorable' when unreadable = 0 then 'restorable' else 'degraded' end as status from
- (select realm, subject, arg_max(verb, sequence) not in ('delete', 'truncate') as exists_, count(case when readable and (verb in ('delete', 'truncate') or field_json is not null) then 1 end) as versions, count(case when not readable then 1 end) as unreadable
- from {_SEEN} where sequence <= {point_sql(7)} and realm != 'ephemeral' group by 1, 2)))"""
+_GONE = "verb in ('delete', 'truncate')"
+_PLAN = f"""(select *, status = 'restorable' as writable, case status when 'unrestorable' then 'nothing_usable' when 'degraded' then 'partly_unreadable' end as skipped from (select *, case when versions = 0 then 'unrestorable' when unreadable = 0 then 'restorable' else 'degraded' end as status from
+ (select realm, subject, coalesce(arg_max(verb not in ('delete', 'truncate'), sequence) filter (where {_GONE} or field_json is null or readable), false) as exists_, count(case when {_GONE} or (field_json is not null and readable) then 1 end) as versions, count(case when not ({_GONE}) and field_json is not null and not readable then 1 end) as unreadable
+ from {_SEEN} where sequence <= {point_sql(7)} and realm != 'ephemeral' group by 1, 2 having arg_max(verb, sequence) != 'delete')))"""
 
 
 def _seen(spark, sf_dir):
@@ -31,14 +32,23 @@ def _seen(spark, sf_dir):
 
 def _plan(spark, sf_dir):
     o = _seen(spark, sf_dir)
-    return planning.restore_plan(o, point(o, 7))
+    return planning.restore_plan(o, point(o, 7), commit=F.expr(f"microtime div {HOUR6}"))
 
 
-@query(f'select realm, subject, exists_ as "exists", versions, unreadable, status, writable from {_PLAN}', "ops")
+@query(f'select realm, subject, exists_ as "exists", versions, unreadable, status, writable, skipped, (select count(distinct microtime // {HOUR6}) from ops where sequence <= {point_sql(7)}) as depth from {_PLAN}', "ops")
 def restore_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+@query(f"""select realm, subject, coalesce(exists_, false) as "exists", coalesce(versions, 0) as versions, coalesce(unreadable, 0) as unreadable, coalesce(status, 'unrestorable') as status, coalesce(writable, false) as writable,
+ case when realm = 'ephemeral' then 'realm_not_restored' when status is null then 'nothing_usable' else skipped end as skipped from (select distinct realm, subject from {_SEEN} where sequence > {point_sql(9)}) left join {_PLAN.replace("having arg_max(verb, sequence) != 'delete'", "")} using (realm, subject)""", "ops")
+def restore_plan_of_named(spark, sf_dir):
+    """A plan of just the subjects that the last tenth of the journal touches, there or not at the target."""
+    o = _seen(spark, sf_dir)
+    named = o.where(F.col("sequence") > point(o, 9)).select("realm", "subject")
+    return planning.restore_plan(o, point(o, 7), named=named).drop("depth")
+
+
 @query(f"select s.status, count(p.status) as n from (values ('restorable'), ('degraded'), ('unrestorable')) s(status) left join {_PLAN} p on p.status = s.status group by 1", "ops")
 def restore_plan_counts(spark, sf_dir):
     return planning.counted(_plan(spark, sf_dir), "status", planning.STATUSES)

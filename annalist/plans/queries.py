@@ -595,8 +595,3 @@ def line_differences(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("id"), "doc_id", "text")
     pairs = d.groupBy("id").agg(F.min_by("text", "doc_id").alias("before"), F.max_by("text", "doc_id").alias("after"))
     return coding.line_diff(pairs, "id", "before", "after")
-
-
-@query()
-def flush_batches(spark, sf_dir):
-    return coding.flush_batches(src.ops(spark, sf_dir), age=3_600_000_000)

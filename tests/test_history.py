@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from annalist.operators import coding, graph, history, policy, quality, store, timeline
+from annalist.operators import coding, flush, graph, history, policy, quality, store, timeline
 from pyspark.sql import functions as F
 
 OPS = "sequence long, microtime long, realm string, subject string, verb string, actor long, field string, field_json string, payload_length long"
@@ -56,7 +56,7 @@ def test_replay_is_the_sequential_fold(spark):
 
 def test_empty_journal(spark):
     empty = spark.createDataFrame([], OPS)
-    for df in (history.collapse(empty), history.replay(empty), history.diff_subjects(empty, 1, 2), history.previous_version(empty), coding.flush_batches(empty)):
+    for df in (history.collapse(empty), history.replay(empty), history.diff_subjects(empty, 1, 2), history.previous_version(empty), flush.flush_batches(empty)):
         assert df.count() == 0
 
 

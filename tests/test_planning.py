@@ -48,11 +48,45 @@ def test_restore_plan_of_odd_rows(spark):
             (4, 4, "ephemeral", "c", "create", 0, "f", '"1"', 1, True), (5, 5, None, "d", "create", 0, "f", '"1"', 1, True), (6, 6, "entity", "e", "update", 0, "f", '"2"', 1, False), (9, 9, "entity", "z", "create", 0, "f", '"2"', 1, True)]
     ops = spark.createDataFrame(rows, OPS + ", readable boolean")
     plan = planning.restore_plan(ops, 6)
-    got = {r["subject"]: (r["exists"], r["status"], r["writable"]) for r in plan.collect()}
-    assert got == {"a": (True, "degraded", False), "b": (False, "restorable", True), "d": (True, "restorable", True), "e": (True, "unrestorable", False)}
-    assert {r["subject"] for r in planning.restore_plan(ops, 6, fill_degraded=True).where("writable").collect()} == {"a", "b", "d"}
+    got = {r["subject"]: (r["exists"], r["status"], r["writable"], r["skipped"]) for r in plan.collect()}
+    assert got == {"a": (True, "restorable", True, None), "d": (True, "restorable", True, None), "e": (False, "unrestorable", False, "nothing_usable")}
     assert [r["n"] for r in planning.counted(plan.limit(0), "status", planning.STATUSES).collect()] == [0, 0, 0]
-    assert planning.concurrent_changes(plan, ops, 2).select("subject", "changed_at").collect() == [("b", 3)]
+    assert planning.concurrent_changes(plan, ops, 0).select("subject", "changed_at").collect() == [("a", 2)]
+    named = spark.createDataFrame([("entity", "b"), ("entity", "none"), ("ephemeral", "c"), (None, "d"), ("entity", "z")], "realm string, subject string")
+    got = {r["subject"]: (r["exists"], r["versions"], r["status"], r["skipped"]) for r in planning.restore_plan(ops, 6, named=named).collect()}
+    nothing = (False, 0, "unrestorable", "nothing_usable")
+    assert got == {"b": (False, 1, "restorable", None), "none": nothing, "c": (False, 0, "unrestorable", "realm_not_restored"), "d": (True, 1, "restorable", None), "z": nothing}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_restore_plan_replays_operation_by_operation(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, i, "entity", f"s{r.randrange(12)}", r.choice(["create", "update", "update", "delete", "truncate"]), 0, "f", r.choice(['"1"', None]), 1, r.choice([True, True, False, None])) for i in range(120)]
+    state = {}
+    for i, _, realm, subject, verb, _, _, payload, _, readable in rows:
+        if i > 100:
+            break
+        exists, versions, lost, _ = state.get((realm, subject), (False, 0, 0, None))
+        if verb in ("delete", "truncate"):
+            state[realm, subject] = (False, versions + 1, lost, verb)
+        elif payload is None:
+            state[realm, subject] = (True, versions, lost, verb)
+        elif readable:
+            state[realm, subject] = (True, versions + 1, lost, verb)
+        else:
+            state[realm, subject] = (exists, versions, lost + 1, verb)
+    plan = planning.restore_plan(spark.createDataFrame(rows, OPS + ", readable boolean"), 100, commit="microtime").collect()
+    assert {(p["realm"], p["subject"]): (p["exists"], p["versions"], p["unreadable"]) for p in plan} == {k: v[:3] for k, v in state.items() if v[3] != "delete"}
+    for p in plan:
+        assert p["status"] == ("unrestorable" if not p["versions"] else "degraded" if p["unreadable"] else "restorable") and p["depth"] == 101
+
+
+def test_merge_of_a_branch_that_is_merged_already(spark):
+    rows = [(i, i, "config", f"s{i}", "create", 0, "f", '"1"', 1, i) for i in range(6)]
+    ops = spark.createDataFrame(rows, OPS + ", commit_no long")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 6)], "child long, parent long")
+    assert planning.merge_plan(ops, planning.branch_sets(edges, 5, 2)).count() == 0
+    assert {r["object"] for r in planning.merge_plan(ops, planning.branch_sets(edges, 2, 5)).collect()} == {"s3", "s4", "s5"}
 
 
 def test_holds_by_whole_and_short_names(spark):
