@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -18,7 +18,7 @@ SKIPPED = ("nothing_usable", "partly_unreadable", "realm_not_restored")
 NAMED = 20
 
 
-def restore_plan(ops: DataFrame, until: int, fill_degraded: bool = False, not_restored: tuple[str, ...] = NOT_RESTORED, named: DataFrame | None = None, commit: str | None = None) -> DataFrame:
+def restore_plan(ops: DataFrame, until: int, fill_degraded: bool = False, not_restored: tuple[str, ...] = NOT_RESTORED, named: DataFrame | None = None, commit: Column | str | None = None) -> DataFrame:
     """Subjects at a sequence as a restore would treat them: exists, versions, unreadable, status, writable, skipped, depth.
 
     The plan is of the subjects that are there, those whose last operation isn't a deletion; with named (realm, subject) it is of just these,
@@ -45,7 +45,7 @@ def restore_plan(ops: DataFrame, until: int, fill_degraded: bool = False, not_re
     out = out.withColumn("status", status).withColumn("writable", F.col("status").isin("restorable", *(["degraded"] if fill_degraded else [])) & ~closed())
     why = F.when(closed(), SKIPPED[2]).when(F.col("status") == "unrestorable", SKIPPED[0]).when(F.col("status") == "degraded", SKIPPED[1])
     out = out.withColumn("skipped", F.when(~F.col("writable"), why))
-    depth = ops.where(F.col("sequence") <= until).agg((F.count_distinct(commit) if commit else F.lit(None).cast("long")).alias("depth"))
+    depth = ops.where(F.col("sequence") <= until).agg((F.count_distinct(commit) if commit is not None else F.lit(None).cast("long")).alias("depth"))
     return out.select("realm", "subject", "exists", "versions", "unreadable", "status", "writable", "skipped").crossJoin(depth)  # one row
 
 
