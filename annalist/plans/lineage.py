@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import archive, flush, graph, walks
+from ..operators import anchors, archive, flush, graph, walks
 from ..operators.ranges import numbered
-from ..plans.staging import staged
+from ..plans.staging import scratch_folder, staged
 from ..sources import history as src
 from ..sources.history import with_views
+from ..streaming import journal
 from .planning import ORACLE_SQL, QUERIES
 from .queries import query
 
@@ -163,3 +164,55 @@ AGE, COUNT, SIZE = HOUR, 12, 400
 def flush_batches(spark, sf_dir):
     """The micro-batches of each realm's journal, with bounds that all fire in it."""
     return flush.flush_batches(src.ops(spark, sf_dir), age=AGE, count=COUNT, size=SIZE)
+
+
+@query("select batch, microtime, request, subject, label, row_number() over (order by batch, microtime, request) as sequence from (select least(3, sequence * 4 // (select max(sequence) + 1 from ops)) as batch, microtime, sequence as request, subject, substr(repeat(field_json, 30), 1, 255) as label from ops)", "ops")
+def appended_journal(spark, sf_dir):
+    """The journal that four batches append, two of which come twice."""
+    o = src.ops(spark, sf_dir)
+    n = o.agg(F.max("sequence") + 1).first()[0]
+    rows = o.select(F.least(F.lit(3), F.expr(f"sequence * 4 div {n}")).cast("long").alias("_batch"), "microtime", F.col("sequence").alias("request"), "subject", F.repeat("field_json", 30).alias("label"))
+    folder = scratch_folder(spark, "journal")
+    for k in (0, 1, 1, 2, 0, 3):
+        journal.append(rows.where(F.col("_batch") == k).drop("_batch"), k, folder)
+    return journal.appended(spark, folder).select("batch", "microtime", "request", "subject", "label", "sequence")
+
+
+# --- anchors --------------------------------------------------------------------------------------------------------
+
+ANCHOR, FULL = 14_400_000_000, 6
+_ENTRIES = f"""en as (select realm as history, subject, microtime // {ANCHOR} as anchor, case when arg_max(verb, sequence) = 'delete' then null else arg_max(payload_length, sequence) end as size from ops group by 1, 2, 3),
+ lim as (select min(anchor) as lo, max(anchor) as hi from en), ks as (select unnest(range(lo, hi + 1)) as k from lim), fulls as (select k from ks, lim where k % {FULL} = 0 or k = lo),
+ an as (select history, subject, anchor, false as "full", size from en where anchor not in (select k from fulls)
+  union all select history, subject, k, true, size from (select history, subject, k, size, row_number() over (partition by history, subject, k order by anchor desc) as r from fulls join en on anchor <= k) where r = 1 and size is not null)"""
+
+
+def _anchors(spark, sf_dir):
+    found = anchors.entries(src.ops(spark, sf_dir), ANCHOR)
+    first, last = found.agg(F.min("anchor"), F.max("anchor")).first()
+    return anchors.written(found, first or 0, last or 0, FULL), last or 0
+
+
+@query(with_views("select 1", "ops").rsplit("\n", 1)[0] + f', {_ENTRIES}\nselect history, anchor, "full", count(*) as subjects, count(*) - count(size) as removed, cast(coalesce(sum(size), 0) as bigint) as bytes from an group by 1, 2, 3')
+def written_anchors(spark, sf_dir):
+    """What the anchors of every four hours list, each sixth in full."""
+    listed, _ = _anchors(spark, sf_dir)
+    return listed.groupBy("history", "anchor", "full").agg(F.count("*").alias("subjects"), F.count_if(F.col("size").isNull()).alias("removed"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+@query("select realm as history, subject, arg_max(payload_length, sequence) as size from ops group by 1, 2 having arg_max(verb, sequence) != 'delete'", "ops")
+def anchored_subjects(spark, sf_dir):
+    """The newest anchor resolved over its chain: the subjects there are at the end of the journal."""
+    listed, last = _anchors(spark, sf_dir)
+    chain = anchors.chain_of(listed, last).select("link", F.struct("history", "subject").alias("subject"), "size")
+    return graph.resolve_anchor(chain).select("subject.history", "subject.subject", "size")
+
+
+@query(with_views("select 1", "ops").rsplit("\n", 1)[0] + f""", {_ENTRIES}, seg as (select distinct realm as history, subject, microtime // {ANCHOR} as anchor from ops)
+ select history, anchor, count(*) as commits_that_name_it, (select count(*) from an where an.history = seg.history and an.anchor = seg.anchor) as members from seg group by 1, 2""")
+def anchor_members(spark, sf_dir):
+    """How many subjects were written in an anchor's interval, and how many the anchor lists."""
+    listed, _ = _anchors(spark, sf_dir)
+    members = listed.groupBy("history", "anchor").agg(F.count("*").alias("members"))
+    named = src.ops(spark, sf_dir).select(F.col("realm").alias("history"), "subject", F.expr(f"microtime div {ANCHOR}").alias("anchor")).distinct().groupBy("history", "anchor").agg(F.count("*").alias("commits_that_name_it"))
+    return named.join(members, ["history", "anchor"], "left").select("history", "anchor", "commits_that_name_it", F.coalesce("members", F.lit(0)).alias("members"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df in the shared folder that spark.checkpoint.dir names and read it back; it may be unset only where all of Spark is on this machine."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; it may be unset only where all of Spark is on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.conf.get("spark.master", "").split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(folder or '/tmp/annalist-checkpoints').rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{(folder or '/tmp/annalist-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
