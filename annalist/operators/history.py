@@ -128,14 +128,6 @@ def merge_three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: li
     return rows.withColumn("outcome", outcome).withColumn("_r", take).select(*key, "outcome", F.col("_r").isNotNull().alias("present"), F.col("_r.v").alias("value"))
 
 
-def flatten_json(df: DataFrame, key: list[str], body: str) -> DataFrame:
-    """Objects (JSON text of string values, two levels) as rows (key, path, value): leaves of nested objects have dotted paths."""
-    top = df.select(*key, F.explode(F.from_json(body, "map<string,string>")).alias("_k", "_v"))
-    inner = F.when(F.col("_v").startswith("{"), F.from_json("_v", "map<string,string>"))
-    deep = F.when(inner.isNotNull(), F.transform(F.map_entries(inner), lambda e: F.struct(F.concat_ws(".", F.col("_k"), e["key"]).alias("path"), e["value"].alias("value"))))
-    return top.select(*key, F.explode(F.coalesce(deep, F.array(F.struct(F.col("_k").alias("path"), F.col("_v").alias("value"))))).alias("x")).select(*key, "x.path", "x.value")
-
-
 def rows_at(ops: DataFrame, realm: str, until: int, fields: list[str]) -> DataFrame:
     """A realm's subjects at a sequence as rows with a column for each of the given fields (null: not set)."""
     state = replay(ops.where(F.col("realm") == realm), until)

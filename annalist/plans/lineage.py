@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import anchors, archive, flush, graph, walks
+from ..operators import anchors, archive, flush, graph, payloads, walks
 from ..operators.ranges import numbered
 from ..plans.staging import scratch_folder, staged
 from ..sources import history as src
@@ -216,3 +216,35 @@ def anchor_members(spark, sf_dir):
     members = listed.groupBy("history", "anchor").agg(F.count("*").alias("members"))
     named = src.ops(spark, sf_dir).select(F.col("realm").alias("history"), "subject", F.expr(f"microtime div {ANCHOR}").alias("anchor")).distinct().groupBy("history", "anchor").agg(F.count("*").alias("commits_that_name_it"))
     return named.join(members, ["history", "anchor"], "left").select("history", "anchor", "commits_that_name_it", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+# --- nested payloads ------------------------------------------------------------------------------------------------
+
+
+def _body(o: DataFrame) -> DataFrame:
+    """The journal with payloads of several levels around its own: lists, empty maps, and texts that look like maps."""
+    quoted = F.to_json(F.struct(F.concat(F.lit("{"), "field").alias("brace"), F.col("field_json").alias("text"), F.lit("{}").alias("empty")))
+    parts = [F.lit('{"own": '), "field_json", F.lit(', "list": [3, '), "field_json", F.lit('], "none": {}, "text": '), quoted, F.lit(', "deep": {"a": {"b": {"'), "field", F.lit('": '), F.col("actor").cast("string"), F.lit(', "off": null}}}'),
+             F.when(F.col("sequence") % 3 == 0, ', "flag": true').otherwise(F.lit("")), F.lit("}")]
+    return o.withColumn("body", F.when(F.col("sequence") % 50 == 49, F.lit("{broken")).otherwise(F.concat(*parts)))
+
+
+_LEAVES = """lv as (select sequence, realm, subject, unnest([{'path': 'own.k', 'kind': 'bigint', 'value': cast(json_extract(field_json, '$.k') as varchar)}, {'path': 'list', 'kind': 'array', 'value': concat('[3,', replace(field_json, ' ', ''), ']')},
+  {'path': 'none', 'kind': 'object', 'value': '{}'}, {'path': 'text.brace', 'kind': 'string', 'value': concat('{', field)}, {'path': 'text.text', 'kind': 'string', 'value': field_json}, {'path': 'text.empty', 'kind': 'string', 'value': '{}'},
+  {'path': concat('deep.a.b.', field), 'kind': 'bigint', 'value': cast(actor as varchar)}, {'path': 'deep.a.b.off', 'kind': 'void', 'value': null}, case when sequence % 3 = 0 then {'path': 'flag', 'kind': 'boolean', 'value': 'true'} end]) as l from ops where sequence % 50 != 49)"""
+
+
+@query(with_views("select 1", "ops").rsplit("\n", 1)[0] + f", {_LEAVES}\nselect sequence, l.path as path, l.kind as kind, l.value as value from lv where l is not null")
+def nested_payloads(spark, sf_dir):
+    """The leaves of payloads of several levels; one in fifty can't be read and has none."""
+    return payloads.leaves(_body(src.ops(spark, sf_dir)), ["sequence"], "body")
+
+
+@query(with_views("select 1", "ops").rsplit("\n", 1)[0] + f""", {_LEAVES}, nr as (select sequence, realm, subject, row_number() over (partition by realm, subject order by sequence) as version, count(*) over (partition by realm, subject) as z from ops where realm = 'config'),
+ cur as (select realm, subject, version, l.path as path, l.kind as kind, l.value as value, z from lv join nr using (sequence, realm, subject) where l is not null),
+ both_ as (select coalesce(a.realm, b.realm) as realm, coalesce(a.subject, b.subject) as subject, coalesce(a.version, b.version + 1) as version, coalesce(a.path, b.path) as path, a.kind as ak, a.value as av, b.kind as bk, b.value as bv
+  from cur a full join (select * from cur where version < z) b on a.realm = b.realm and a.subject = b.subject and a.version = b.version + 1 and a.path = b.path)
+ select realm, subject, version, path, case when bk is null then 'set' when ak is null then 'removed' else 'changed' end as change, coalesce(ak, bk) as kind, bv as "before", av as value from both_ where ak is distinct from bk or av is distinct from bv""")
+def captured_config(spark, sf_dir):
+    """What each version of a configuration object changes, leaf by leaf."""
+    return payloads.config_changes(_body(src.ops(spark, sf_dir).where("realm = 'config'")), ["realm", "subject"], ["sequence"], "body")

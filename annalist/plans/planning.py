@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import capture, graph, history, planning, policy, quality, store
+from ..operators import capture, graph, history, payloads, planning, policy, quality, store
 from ..sources import files
 from ..sources import history as src
 from ..sources.history import table, with_views
@@ -491,7 +491,7 @@ def text_functions(spark, sf_dir):
 @query("select o_orderkey as id, 'status' as path, o_orderstatus as value from orders union all select o_orderkey, 'who.cust', cast(o_custkey as varchar) from orders union all select o_orderkey, 'who.priority', o_orderpriority from orders")
 def flattened_payloads(spark, sf_dir):
     body = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").cast("string").alias("cust"), F.col("o_orderpriority").alias("priority")).alias("who")))
-    return history.flatten_json(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body")), ["id"], "body")
+    return payloads.leaves(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body")), ["id"], "body").drop("kind")
 
 
 @query("select doc_id, sha256(encode(coalesce(text, ''))) as digest, cast(greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 4096 + 1 as bigint) as pieces from documents")

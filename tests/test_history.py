@@ -67,11 +67,6 @@ def test_three_way_merge_cases(spark):
     assert got == {"a": ("theirs", True, "2"), "b": ("both", True, "2"), "c": ("conflict", True, "1"), "d": ("ours", False, None), "e": ("theirs", False, None), "f": ("theirs", True, "9")}
 
 
-def test_flatten_two_levels(spark):
-    df = spark.createDataFrame([("k", '{"a": "1", "b": {"c": "2"}}')], "id string, body string")
-    assert sorted((r["path"], r["value"]) for r in history.flatten_json(df, ["id"], "body").collect()) == [("a", "1"), ("b.c", "2")]
-
-
 def test_statement_kinds(spark):
     texts = ["INSERT INTO `node` VALUES (1)", "/* x */ update {users} set a = 1", "delete from t where 1", "select 1", "TRUNCATE TABLE cache", "create table if not exists q (a int)", None]
     got = [(r["verb"], r["target"]) for r in history.statement_kinds(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, statement string")).orderBy("i").collect()]
