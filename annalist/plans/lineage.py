@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import anchors, archive, flush, graph, payloads, walks
+from ..operators.store import cut
 from ..operators.ranges import numbered
 from ..plans.staging import scratch_folder, staged
+from ..sources import files, objects
 from ..sources import history as src
-from ..sources.history import with_views
+from ..sources.history import table, with_views
 from ..streaming import journal
 from .planning import ORACLE_SQL, QUERIES
 from .queries import query
@@ -248,3 +250,106 @@ def nested_payloads(spark, sf_dir):
 def captured_config(spark, sf_dir):
     """What each version of a configuration object changes, leaf by leaf."""
     return payloads.config_changes(_body(src.ops(spark, sf_dir).where("realm = 'config'")), ["realm", "subject"], ["sequence"], "body")
+
+
+# --- stored objects -------------------------------------------------------------------------------------------------
+
+#: Fifty documents make a commit an hour apart; frames are of 4 KB and lie in packs by the first digits of their address.
+_PIECES = """pc as (select doc_id // 50 as number, sha256(b) as hash, octet_length(b) as raw, b from (select doc_id, encode(coalesce(text, ''))[p * 4096 + 1 : (p + 1) * 4096] as b from documents, unnest(range(0, greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 4096 + 1)) t(p))),
+ fr as (select hash, max(raw) as raw, concat('p', substr(hash, 1, 2)) as pack from pc group by 1), cm as (select distinct number from pc), tip as (select max(number) * 4 // 5 as t from cm), bad as (select hash, pack, concat('0x', substr(hash, 5, 2))::integer % 29 as k from fr)"""
+
+
+def _pieces(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    pieces = cut(d, "doc_id", "text", 4096)
+    return staged(pieces.select(F.expr("doc_id div 50").alias("number"), "block", F.sha2("block", 256).alias("hash")))
+
+
+def _stored(spark, sf_dir, damaged: bool = False):
+    """Packs, manifests and commits of all documents in a new folder, and refs to four fifths of the history; damaged: some lines cut or changed, some manifests left out."""
+    p = _pieces(spark, sf_dir)
+    folder = scratch_folder(spark, "objects")
+    frames = p.groupBy("hash").agg(F.first("block").alias("body")).withColumn("pack", F.concat(F.lit("p"), F.substring("hash", 1, 2))).withColumn("parent", F.lit(None).cast("string")).withColumn("dictionary", F.when(F.substring("hash", 3, 1) < "8", F.substring("hash", 3, 1)))
+    k = F.conv(F.substring("hash", 5, 2), 16, 10).cast("int") % 29
+    if damaged:
+        frames = frames.withColumn("body", F.when(k == 3, F.concat("body", F.encode(F.lit("?"), "utf-8"))).otherwise(F.col("body"))).withColumn("hash", F.when(k == 5, F.lit(None)).otherwise(F.col("hash")))
+    objects.write_packs(frames, folder)
+    second = (F.col("number") * 3600).alias("second")
+    manifests = p.groupBy("number").agg(F.array_sort(F.collect_set("hash")).alias("frames")).select("number", second, "frames")
+    objects.write_manifests(manifests.where("number % 7 != 4") if damaged else manifests, folder)
+    c = p.select("number").distinct().select("number", second.alias("segment"), (F.col("number") * 3_600_000_000).alias("microtime"))
+    commits = objects.addressed(c).withColumn("parent", F.lag("id").over(Window.orderBy("number"))).withColumn("merge", F.lit(None).cast("string"))  # a row a commit
+    if damaged:
+        commits = commits.withColumn("content", F.when(F.col("number") == 2, F.lit("{")).otherwise(F.col("content")))
+    objects.write_commits(commits, folder)
+    tip = c.agg(F.expr("max(number) * 4 div 5")).first()[0]
+    refs = commits.where(F.col("number") <= tip).orderBy(F.desc("number")).limit(1).select(F.lit("main").alias("name"), F.col("id").alias("tip"))
+    return folder, staged(refs)
+
+
+@query(f"with {_PIECES}, rf as (select hash, count(distinct number) as refs from pc where number <= (select t from tip) group by 1) select hash, pack, raw, coalesce(refs, 0) as refs from fr left join rf using (hash)")
+def reindexed_frames(spark, sf_dir):
+    """The frame index made again from the stored objects, with references from the segments that the ref leads to."""
+    folder, refs = _stored(spark, sf_dir)
+    return objects.reindex(spark, folder, refs).frames.select("hash", "pack", "raw", "refs")
+
+
+@query(f"""with {_PIECES}, rf as (select hash, count(distinct number) as refs from pc where number <= (select t from tip) and number > 2 and number % 7 != 4 group by 1)
+ select hash, pack, raw, coalesce(refs, 0) as refs from fr join bad using (hash, pack) left join rf using (hash) where k not in (3, 5)""")
+def reindexed_damage(spark, sf_dir):
+    """The same from a store in which bodies were changed, addresses lost, manifests left out, and a commit of the chain cut."""
+    folder, refs = _stored(spark, sf_dir, damaged=True)
+    return objects.reindex(spark, folder, refs).frames.select("hash", "pack", "raw", "refs")
+
+
+@query(f"""with {_PIECES} select 'pack' as kind, case k when 3 then 'frame.hash_mismatch' else 'entry.unreadable' end as code, count(*) as n from bad where k in (3, 5) group by 1, 2
+ union all select 'commit', 'commit.unreadable', count(*) from cm where number = 2 having count(*) > 0 union all select 'commit', 'commit.missing', 1 from tip where t >= 3 union all select 'segment', 'segment.missing', count(*) from cm, tip where number > 2 and number <= t and number % 7 = 4 having count(*) > 0""")
+def reindex_problems(spark, sf_dir):
+    """What a rebuild reports of that store."""
+    folder, refs = _stored(spark, sf_dir, damaged=True)
+    return objects.reindex(spark, folder, refs).problems.groupBy("kind", "code").agg(F.count("*").alias("n"))
+
+
+@query("select s.second, cast(count(*) as bigint) as files from (select distinct microtime // 3600000000 * 3600 as second from ops) s where second between 1704067200 + 86400 * 3 and 1704067200 + 86400 * 9 group by 1", "ops")
+def segment_keys(spark, sf_dir):
+    """The hourly segments of six days, from the listing of a written store alone."""
+    folder = scratch_folder(spark, "segments")
+    o = src.ops(spark, sf_dir).withColumn("second", F.expr("microtime div 3600000000 * 3600"))
+    objects.write_manifests(o.groupBy("second").agg(F.array_sort(F.collect_set(F.sha2("field_json", 256))).alias("frames")), folder)
+    start = 1_704_067_200 + 86_400 * 3
+    return objects.segment_keys(spark, folder, start, start + 86_400 * 6).groupBy("second").agg(F.count("*").alias("files"))
+
+
+@query("select realm, microtime // 86400000000 as day, count(*) as operations, min(sequence) as first_sequence, max(sequence) as last_sequence from ops where microtime // 86400000000 * 86400 between 1704067200 + 86400 * 3 and 1704067200 + 86400 * 9 group by 1, 2", "ops")
+def segment_rows(spark, sf_dir):
+    """Operations read back from the written segments of seven days; the others' files aren't opened."""
+    folder, day = scratch_folder(spark, "segments"), 86_400_000_000
+    files.write_segments(src.ops(spark, sf_dir), folder, day)
+    start = 1_704_067_200_000_000 + 3 * day
+    rows = files.read_segments(spark, folder, start, start + 6 * day)
+    return rows.groupBy("realm", F.expr(f"microtime div {day}").alias("day")).agg(F.count("*").alias("operations"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+
+
+_TREE = "select c_nationkey as nation, string_agg(concat(c_name, ' ', c_mktsegment, chr(10)), '' order by c_custkey) as body from customer where c_custkey % 10 != {skip} group by 1"
+
+
+@query(f"select nation, octet_length(encode(body)) as length, sha256(encode(body)) as hash from ({_TREE.format(skip=99)})")
+def scanned_tree(spark, sf_dir):
+    """A tree of text files, one a nation, with the digests of their bytes."""
+    found = files.scan_tree(spark, _tree(spark, sf_dir, 99))
+    return found.select(F.regexp_extract("path", r"nation=(\d+)/", 1).cast("int").alias("nation"), "length", "hash")
+
+
+def _tree(spark, sf_dir, skip: int) -> str:
+    folder = scratch_folder(spark, "tree")
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 != skip)
+    c.select("c_custkey", F.col("c_nationkey").alias("nation"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("value")).repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(folder)
+    return folder
+
+
+@query(f"select nation, 'changed' as status from ({_TREE.format(skip=99)}) a join ({_TREE.format(skip=3)}) b using (nation) where a.body != b.body union all select nation, 'removed' from ({_TREE.format(skip=99)}) where nation not in (select nation from ({_TREE.format(skip=3)}))")
+def drifted_tree(spark, sf_dir):
+    """Files that differ between two trees of customers by nation, the second without a tenth of its lines."""
+    name = F.regexp_extract("path", r"nation=(\d+)/", 1)
+    a, b = (files.scan_tree(spark, _tree(spark, sf_dir, k)).withColumn("path", name) for k in (99, 3))
+    return files.compare_trees(a, b).select(F.col("path").cast("int").alias("nation"), "status")
