@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import anchors, archive, flush, graph, payloads, walks
+from ..operators import anchors, archive, dictionaries, flush, graph, payloads, repair, walks
 from ..operators.store import cut
 from ..operators.ranges import numbered
 from ..plans.staging import scratch_folder, staged
@@ -353,3 +353,58 @@ def drifted_tree(spark, sf_dir):
     name = F.regexp_extract("path", r"nation=(\d+)/", 1)
     a, b = (files.scan_tree(spark, _tree(spark, sf_dir, k)).withColumn("path", name) for k in (99, 3))
     return files.compare_trees(a, b).select(F.col("path").cast("int").alias("nation"), "status")
+
+
+# --- repair and dictionaries ----------------------------------------------------------------------------------------
+
+_RANK = "case {c} when 'observe' then 0 when 'reindex' then 1 when 'refetch' then 2 when 'rebuild' then 3 when 'quarantine' then 4 else 5 end"
+_RUNG = "['observe', 'reindex', 'refetch', 'rebuild', 'quarantine', 'refuse'][{at} + 1]"
+#: Two passes, an hour apart, over findings by code and scope; of the rungs only one works, and a code has failed twice before the first.
+_PASS = """{n}c as (select code, max({rank}) as pos, count(case when resolved is null then 1 end) as open, max(case when resolved is null then severity end) as worst from {f} group by 1 having count(case when resolved is null then 1 end) > 0),
+ {n}s as (select code, {rung} as rung, open, worst, coalesce(failures, 0) as failures, coalesce(opened, 0) as opened from {n}c left join {b} using (code)),
+ {n}k as (select *, case when rung = 'observe' then 'watched' when rung not in ('reindex', 'refetch', 'rebuild') then 'held' when failures >= 3 and {now} - opened < 300 then 'waiting' else 'run' end as kind from {n}s),
+ {n}t as (select *, row_number() over (partition by rung, kind order by worst desc, open desc, code) as turn from {n}k),
+ {n}r as (select code, rung, open, worst, case when kind != 'run' then kind when turn > {budget} then 'postponed' when rung = '{works}' then 'repaired' else 'failed' end as result, failures as was, opened as before from {n}t),
+ {n} as (select code, rung, open, worst, result, case when result = 'failed' then ['observe', 'reindex', 'refetch', 'rebuild', 'quarantine', 'refuse'][least({rank} + 2, 6)] else rung end as next_rung,
+  cast(case result when 'repaired' then 0 when 'failed' then was + 1 else was end as bigint) as failures, cast(case when result = 'repaired' then 0 when result = 'failed' and was + 1 >= 3 then {now} else before end as bigint) as opened from {n}r)"""
+_FOUND = "fi as (select concat(code, ':', id % 40) as code, scope, severity, case when rung in ('quarantine', 'refuse') and id % 40 < 30 then 'reindex' else rung end as rung, resolved from findings where id % 40 < 38 or rung = 'observe')"
+_TWO_PASSES = with_views("select 1", "findings").rsplit("\n", 1)[0] + f", {_FOUND}, br as (select distinct code, 2 as failures, 0 as opened from fi where code like '%:7'), " + _PASS.format(n="p1", f="fi", b="br", now=1000, budget=25, works="rebuild", rank=_RANK.format(c="rung"), rung=_RUNG.format(at="pos")) + \
+    ", f2 as (select code, scope, severity, case when p1.result = 'failed' then p1.next_rung else fi.rung end as rung, case when p1.result = 'repaired' and resolved is null then 1000 else resolved end as resolved from fi left join p1 using (code)), b2 as (select code, coalesce(p1.failures, br.failures) as failures, coalesce(p1.opened, br.opened) as opened from br full join p1 using (code) where coalesce(p1.failures, br.failures) > 0), " + \
+    _PASS.format(n="p2", f="f2", b="b2", now=1100, budget=25, works="refetch", rank=_RANK.format(c="rung"), rung=_RUNG.format(at="pos"))
+
+
+def _repaired(spark, sf_dir):
+    i = F.col("id") % 40
+    rung = F.when(F.col("rung").isin("quarantine", "refuse") & (i < 30), "reindex").otherwise(F.col("rung"))
+    found = src.findings(spark, sf_dir).where((i < 38) | (F.col("rung") == "observe")).select(F.concat_ws(":", "code", i.cast("string")).alias("code"), "scope", "severity", rung.alias("rung"), "resolved")
+    breakers = found.where("code like '%:7'").select("code", F.lit(2).cast("long").alias("failures"), F.lit(0).cast("long").alias("opened")).distinct()
+    works = lambda rung: spark.createDataFrame([(rung, True)], "rung string, ok boolean")
+    first = staged(repair.repair_pass(found, breakers, works("rebuild"), 1000, 25))
+    left = repair.after_pass(found, first, 1000)
+    return first, staged(repair.repair_pass(left, repair.breakers_after(breakers, first), works("refetch"), 1100, 25))
+
+
+@query(_TWO_PASSES + " select 1 as pass, * from p1 union all select 2, * from p2")
+def repair_passes(spark, sf_dir):
+    """What two repair passes do with each code: the second starts from the rungs, breakers and findings that the first left."""
+    first, second = _repaired(spark, sf_dir)
+    return first.select(F.lit(1).alias("pass"), "*").union(second.select(F.lit(2), "*"))
+
+
+@query(_TWO_PASSES + " select count(*) as considered, count(case when result = 'repaired' then 1 end) as repaired, count(case when result = 'failed' then 1 end) as failed, count(case when result in ('held', 'waiting', 'postponed') then 1 end) as held, cast(coalesce(sum(case when result = 'repaired' then open end), 0) as bigint) as cleared from p2")
+def repair_totals(spark, sf_dir):
+    return repair.totals(_repaired(spark, sf_dir)[1])
+
+
+@query()
+def dictionary_training(spark, sf_dir):
+    """Dictionaries of documents by language: what the better candidate gains on samples that it wasn't made from."""
+    return dictionaries.training(table(spark, sf_dir, "documents"), "lang", "text").drop("dictionary")
+
+
+@query("""with s as (select lang as realm, text, sha256(encode(text)) as digest from documents where length(text) > 0), r as (select *, dense_rank() over (partition by realm order by digest) as place from s qualify place <= 400), u as (select distinct realm, place, octet_length(encode(text)) as n from r)
+ select realm, count(*) as samples, count(case when place <= greatest(1, z // 2) then 1 end) as build, cast(sum(least(n, 65536)) as bigint) as bytes from (select *, count(*) over (partition by realm) as z from u) group by 1""")
+def training_samples(spark, sf_dir):
+    """The samples that dictionaries are trained on, by language."""
+    rows = dictionaries.sampled(table(spark, sf_dir, "documents"), "lang", "text")
+    return rows.groupBy("realm").agg(F.count("*").alias("samples"), F.count_if(F.col("part") == "build").alias("build"), F.sum(F.length("body")).alias("bytes"))
