@@ -65,3 +65,78 @@ def range_header(start: Column, length: Column) -> Column:
 def part_size(total: Column, least: int = 5_242_880, most_parts: int = 10_000) -> Column:
     """Bytes a part of an upload needs so that there are no more than most_parts."""
     return F.greatest(F.lit(least), F.floor((total + (most_parts - 1)) / most_parts)).cast("long")
+
+
+#: Parts of names whose values are secret, as they stand in settings.
+SECRETS = (
+    "password", "passwd", "hash_salt", "secret", "private_key", "api_key", "apikey", "access_key", "secret_key", "token",
+    "credential", "salt", "dsn", "sentry", "stripe", "twilio", "mailgun", "sendgrid", "smtp_pass", "aws_secret",
+)
+#: What a secret value is replaced by: neither empty nor valid, so that a restored file fails loudly.
+MARKER = "REDACTED_SET_THIS_BEFORE_USE"
+
+
+def secret_line(line: Column) -> Column:
+    """Whether a line of settings assigns to a variable or a quoted key whose name holds a secret's part."""
+    at = F.when(F.instr(line, "=>") > 0, F.instr(line, "=>")).otherwise(F.instr(line, "="))
+    target = F.lower(F.substring(line, F.lit(1), at - 1))
+    assigns = target.contains("$") | target.rlike(r"""['"][a-z0-9_.\-]+['"]\s*$""")
+    return (at > 0) & assigns & target.rlike("|".join(SECRETS))
+
+
+def redact_settings(text: Column) -> Column:
+    """A settings file with the values of its secret lines replaced; the end of a statement or list item is kept, other lines as they are."""
+
+    def line(x: Column) -> Column:
+        arrow = F.instr(x, "=>")
+        at = F.when(arrow > 0, arrow).otherwise(F.instr(x, "="))
+        body = F.regexp_extract(x, r"^[^\r\n]*", 0)
+        rest = F.substring(body, at, F.length(x))
+        tail = F.when(rest.contains(";"), ";").when(rest.contains(","), ",").otherwise("")
+        made = F.concat(F.substring(x, F.lit(1), at - 1), F.when(arrow > 0, "=>").otherwise("="), F.lit(f" '{MARKER}'"), tail, F.substring(x, F.length(body) + 1, F.length(x)))
+        return F.when(secret_line(body), made).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), line), "")
+
+
+def secret_lines(text: Column) -> Column:
+    """How many lines of a settings file are secret."""
+    return F.size(F.filter(F.split(text, r"\r\n|\n|\r"), secret_line)).cast("long")
+
+
+#: Characters of a site's id that is made from what the site is.
+SITE_LENGTH = 12
+
+
+def site_id(configured: Column, *identity: Column) -> Column:
+    """The id given to a site, without characters that a key can't have; without one, the start of a digest over what the site is."""
+    given = F.regexp_replace(F.trim(F.coalesce(configured, F.lit(""))), "[^A-Za-z0-9_-]", "")
+    whole = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in identity])
+    return F.when(given != "", given).otherwise(F.substring(F.sha2(whole, 256), 1, SITE_LENGTH))
+
+
+def site_key(site: Column, key: Column) -> Column:
+    """A key under its site's prefix."""
+    return F.concat(site, F.lit("/"), F.regexp_replace(key, "^/+", ""))
+
+
+def own_key(site: Column, key: Column) -> Column:
+    """A stored key without its site's prefix, null if it is another site's."""
+    prefix = F.concat(site, F.lit("/"))
+    return F.when(key.startswith(prefix), F.substring(key, F.length(prefix) + 1, F.length(key)))
+
+
+#: What values of the model are called.
+LABELS = {
+    "realm": {"entity": "Entity", "config": "Configuration", "state": "State", "key_value": "Key-Value", "table": "Table", "schema": "Schema", "file": "File", "ephemeral": "Ephemeral", "code": "Code"},
+    "verb": {"create": "Create", "update": "Update", "delete": "Delete", "rename": "Rename", "truncate": "Truncate", "ddl": "DDL"},
+    "status": {"restorable": "Restorable", "degraded": "Degraded", "unrestorable": "Unrestorable"},
+    "classification": {"authoritative": "Authoritative", "derivable": "Derivable", "unclassified": "Unclassified"},
+    "strategy": {"refuse": "Refuse", "ours": "Keep Ours", "theirs": "Take Theirs"},
+    "outcome": {"unchanged": "Unchanged", "ours": "Kept", "theirs": "Taken From the Branch", "merged": "Merged", "conflict": "Conflict"},
+}
+
+
+def label(kind: str, value: Column) -> Column:
+    """What a value of a kind is called, null for an unknown one."""
+    return F.create_map(*[F.lit(x) for pair in LABELS[kind].items() for x in pair])[value]

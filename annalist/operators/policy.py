@@ -165,3 +165,46 @@ def gauges(storage: DataFrame, commits: DataFrame, pending: DataFrame, open_by_s
     ]
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(u).alias("unit"), F.lit("").alias("attribute")) for n, v, u in values])).alias("x")).select("x.*")
     return rows.unionByName(open_by_severity.select(F.lit("open_findings").alias("name"), F.col("n").cast("double").alias("value"), F.lit("{finding}").alias("unit"), F.concat(F.lit("severity="), F.col("severity").cast("string")).alias("attribute")))
+
+
+#: Fixed value: the storage class of file blocks, which are read less often than they are kept.
+INFREQUENT = "STANDARD_IA"
+
+
+def storage_class(has_classes: Column, tier_blocks: bool = True, block_class: str | None = None) -> Column:
+    """The class that blocks are put under: none where a store has no classes or blocks aren't tiered."""
+    chosen = (block_class or "").strip() or INFREQUENT
+    return F.when(F.coalesce(has_classes, F.lit(False)) & F.lit(tier_blocks), chosen)
+
+
+#: Fixed values of the storage model: seconds, what an operation of a realm weighs, anchors and deployments, requests, and ratios.
+SECONDS_PER_DAY, SECONDS_PER_MONTH, SECONDS_PER_YEAR, DAYS_PER_YEAR = 86_400, 2_629_800, 31_557_600, 365.25
+OP_BYTES = {"access_event": 48, "access_delta": 184, "user_edit": 593, "node_edit": 870, "row_write": 217, "state_write": 217, "config_write": 2000}
+TREE_BYTES_PER_CHANGED_SUBJECT, CODE_BYTES_PER_DEPLOY = 240.0, 62_772.0
+WRITES_PER_FLUSH, COMPACTION_REWRITE_SHARE, COMPACTION_RATIO = 4, 0.05, 5.86
+
+
+def op_bytes(realm: Column, deltas: Column) -> Column:
+    """Bytes of one operation of a realm; an entity's are those of a visit, written as a delta or as an event."""
+    weights = {"config": OP_BYTES["config_write"], "state": OP_BYTES["state_write"], "key_value": OP_BYTES["state_write"], "code": int(CODE_BYTES_PER_DEPLOY)}
+    visit = F.when(deltas, OP_BYTES["access_delta"]).otherwise(OP_BYTES["access_event"])
+    return reduce(lambda rest, w: F.when(realm == w[0], w[1]).otherwise(rest), weights.items(), F.when(realm == "entity", visit).otherwise(OP_BYTES["row_write"])).cast("long")
+
+
+def estimate(sites: DataFrame) -> DataFrame:
+    """Sites (subjects, ops_per_day, base_interval, segment_interval, retention_days, deploys_per_year; maybe measured_ratio) with the parts of their estimate.
+
+    tree_bytes: what anchors hold while they are kept, each the distinct subjects written in its interval; code_bytes: what deployments do;
+    writes_per_month: requests of flushes with what compaction writes again; ratio: the measured one, at least 1, else the model's.
+    """
+    kept = F.col("retention_days") / DAYS_PER_YEAR
+    writes = F.round(F.col("ops_per_day") * (F.col("base_interval") / SECONDS_PER_DAY))
+    bases = F.round(F.lit(float(SECONDS_PER_YEAR)) / F.col("base_interval")) * kept
+    tree = F.when((F.col("subjects") < 1) | (F.col("ops_per_day") <= 0), 0.0).otherwise(bases * expected_distinct(writes, F.col("subjects").cast("double")) * TREE_BYTES_PER_CHANGED_SUBJECT)
+    flushes = F.round(F.lit(float(SECONDS_PER_MONTH)) / F.col("segment_interval"))
+    known = F.col("measured_ratio") if "measured_ratio" in sites.columns else F.lit(None).cast("double")
+    ratio = F.when(known.isNull(), COMPACTION_RATIO).otherwise(F.greatest(F.lit(1.0), known))
+    return sites.select(
+        "*", F.round(tree).cast("long").alias("tree_bytes"), F.round(F.col("deploys_per_year") * kept * CODE_BYTES_PER_DEPLOY).cast("long").alias("code_bytes"),
+        F.round(flushes * WRITES_PER_FLUSH * (1 + COMPACTION_REWRITE_SHARE)).cast("long").alias("writes_per_month"), ratio.alias("ratio"),
+    )

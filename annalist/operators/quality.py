@@ -21,6 +21,16 @@ TRIPWIRES = (
     ("delta.chain_too_deep", 1, "deepest > 32"), ("flush.stale", 1, "lag_seconds > 86400"), ("segment.truncated", 2, "short_segments > 0"),
     ("watermark.drift", 1, "drifted > 0"), ("classification.unclassified_growth", 1, "unclassified * 4 > classified + unclassified and classified + unclassified >= 100"),
 )
+#: The wires that a sweep over a store trips, by what it counted; those on encryption are left out.
+STORE_WIRES = (
+    ("anchor.missing", 3, "missing_anchors > 0"), ("base.unreachable", 3, "broken_anchors > 0"), ("commit.parent_missing", 3, "missing_parents > 0"),
+    ("delta.chain_too_deep", 1, "deep_chains > 0"), ("delta.parent_missing", 3, "missing_delta_parents > 0"), ("dict.missing", 3, "missing_dictionaries > 0"),
+    ("file.shift_detected", 1, "shifted_files > 0"), ("flush.stale", 1, "lag_seconds > 86400"), ("frame.hash_mismatch", 3, "changed_frames > 0"),
+    ("frame.missing", 3, "missing_frames > 0"), ("frame.unindexed", 2, "unindexed_frames > 0"), ("frame.unreadable", 2, "unreadable_frames > 0"),
+    ("pack.short_read", 2, "short_packs > 0"), ("ref.missing", 3, "missing_refs > 0"), ("segment.truncated", 2, "unreadable_segments > 0"),
+    ("tier.unreachable", 2, "unreachable_tiers > 0"), ("classification.unclassified_growth", 1, "unclassified * 4 > total_keys and total_keys >= 100"),
+    ("code.vendor_drift", 2, "drifted_files > 0"), ("watermark.drift", 1, "drifted_tables > 0"),
+)
 
 
 def rank(col: Column, order: tuple[str, ...] = RUNGS) -> Column:
@@ -119,11 +129,12 @@ def unclassified_growth(discovered: DataFrame, least: int = 100, share: float =
     return out.withColumn("fires", (F.col("total") >= least) & (F.col("unclassified") > F.col("total") * share))
 
 
-def tripwires(observation: DataFrame, wires: tuple = TRIPWIRES) -> DataFrame:
-    """One row for each wire that an observation trips: code, severity, rung to start at."""
+def tripwires(observation: DataFrame, wires: tuple = TRIPWIRES, whole: bool = False) -> DataFrame:
+    """One row for each wire that an observation trips: code, severity, rung to start at; with whole, every wire and whether it fires."""
     rung = lambda s: START.get(s, "observe")
     rows = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(rung(s)).alias("rung"), F.coalesce(F.expr(e), F.lit(False)).alias("fires")) for c, s, e in wires])
-    return observation.select(F.explode(rows).alias("x")).select("x.*").where("fires").drop("fires")
+    out = observation.select(F.explode(rows).alias("x")).select("x.*")
+    return out if whole else out.where("fires").drop("fires")
 
 
 def stride_sample(subjects: DataFrame, key: str, size: int) -> DataFrame:
@@ -151,3 +162,45 @@ def drill(stored: DataFrame, live: DataFrame, key: list[str], value: str = "valu
 def circuit_state(failures: Column, since: Column, limit: int = 3, cooldown: int = 300) -> Column:
     """closed below the limit of failures, else open, and half-open once the cooldown is over."""
     return F.when(failures < limit, "closed").when(since >= cooldown, "half-open").otherwise("open")
+
+
+#: Names of columns that hold when a row changed, the first that is there being taken.
+CHANGED_COLUMNS = ("changed", "updated", "timestamp", "created")
+
+
+def order_column(columns: list[str]) -> str | None:
+    """The column a table is read in order of: id, else the shortest that ends with id, else name, else the first."""
+    if "id" in columns:
+        return "id"
+    ids = sorted((c for c in columns if c.endswith("id")), key=lambda c: (len(c), c))
+    return ids[0] if ids else "name" if "name" in columns else columns[0] if columns else None
+
+
+def changed_column(columns: list[str]) -> str | None:
+    """The column that says when a row changed, if there is one."""
+    return next((c for c in CHANGED_COLUMNS if c in columns), None)
+
+
+def introspected(tables: dict[str, DataFrame]) -> DataFrame:
+    """What tables are: table_name, columns, row_count, order_column, max_key, changed_column, max_changed; a row a table, from one pass over it."""
+    spark = next(iter(tables.values())).sparkSession
+    out: DataFrame | None = None
+    for name, df in sorted(tables.items()):
+        order, changed = order_column(df.columns), changed_column(df.columns)
+        top = lambda c: F.max(c).cast("string") if c else F.lit(None).cast("string")
+        one = df.agg(F.count("*").alias("row_count"), top(order).alias("max_key"), top(changed).alias("max_changed"))
+        text = lambda c: F.lit(c).cast("string")
+        row = one.select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "row_count", text(order).alias("order_column"), "max_key", text(changed).alias("changed_column"), "max_changed")
+        out = row if out is None else out.union(row)
+    return out if out is not None else spark.createDataFrame([], "table_name string")
+
+
+def store_observation(findings: DataFrame, **extra: DataFrame) -> DataFrame:
+    """One row of counts for STORE_WIRES, from the findings (code, scope) of a sweep and one-row tables of other counts."""
+    names = {"anchor.missing": "missing_anchors", "anchor.unwalkable": "broken_anchors", "commit.parent_missing": "missing_parents", "delta.chain_too_deep": "deep_chains", "delta.parent_missing": "missing_delta_parents",
+             "dict.missing": "missing_dictionaries", "frame.hash_mismatch": "changed_frames", "frame.missing": "missing_frames", "frame.unindexed": "unindexed_frames", "entry.unreadable": "unreadable_frames",
+             "ref.missing": "missing_refs", "segment.unreadable": "unreadable_segments"}
+    row = findings.agg(*[F.count_if(F.col("code") == code).alias(n) for code, n in names.items()])
+    for df in extra.values():
+        row = row.crossJoin(df)  # one row each
+    return row

@@ -1,7 +1,7 @@
 """Every history query against its SQL, and those without SQL against what must hold."""
 
 import pytest
-from annalist.plans.lineage import ORACLE_SQL, QUERIES
+from annalist.plans.upkeep import ORACLE_SQL, QUERIES
 
 from oracle import both, connection
 
