@@ -59,7 +59,7 @@ def op8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), toxicity.held_out))
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), toxicity.held_out)
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 

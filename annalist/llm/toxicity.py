@@ -7,6 +7,7 @@ found in toxic documents far more often than chance allows.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -230,18 +231,34 @@ def _sums(p: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(total, 0), top
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most per_label documents of either label that aren't held out and have at most `chars` characters, in order of a hash of the id."""
+def _sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str, label_col: str, per_label: int, chars: int) -> DataFrame:
+    """(_t, _y, _o): texts and labels of the sample, and what it is in order of."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     one = one.where(~held_out(F.col(id_col)))
     order = F.xxhash64(id_col)
     picked = [one.where(F.col("_y") == y).orderBy(order, id_col).limit(per_label) for y in (0, 1)]
     ids = picked[0].union(picked[1])
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length("_t") <= chars).join(F.broadcast(ids), id_col)  # at most 2 * per_label rows
-    got = rows.dropDuplicates([id_col]).orderBy(order).select("_t", "_y").toArrow()
+    return rows.dropDuplicates([id_col]).select("_t", "_y", order.alias("_o"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """At most per_label documents of either label that aren't held out and have at most `chars` characters, in order of a hash of the id."""
+    got = _sample(docs, labels, held_out, id_col, text_col, label_col, per_label, chars).orderBy("_o").toArrow()
     return got["_t"].to_pylist(), got["_y"].to_pylist()
 
 
+def fitted(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Field:
+    """fit() of labelled_sample(), in a task: the bounded sample stays off the driver, which gets the field of at most FEATURES weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([b.select(["_t", "_y"]) for b in batches], pa.schema([("_t", pa.string()), ("_y", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got["_t"].to_pylist(), got["_y"].to_pylist()))], pa.binary())], names=["field"])
+
+    sample = _sample(docs, labels, held_out, id_col, text_col, label_col, per_label, chars).withColumn("_y", F.col("_y").cast("int"))
+    return pickle.loads(sample.repartition(1).sortWithinPartitions("_o").mapInArrow(run, "field binary").first()["field"])
+
+
 def _marginals_of(m: Field, texts: pa.Array, memo: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its score, and of its tokens (with offsets) the probability of being toxic. memo: scores of the task's words so far."""
     found = pc.utf8_split_whitespace(pc.utf8_lower(texts))
