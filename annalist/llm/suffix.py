@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, powers, runs, sliding_min, staged
+from .common import U64, dropped, mix, powers, runs, sliding_min, staged
 
 GRAM, PERIOD = 64, 16
 #: A bucket of more contexts than this is split by what its suffixes have in common, SLICE distances at a time.
@@ -159,9 +159,11 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text_col: str = "text",
                 yield flush()
 
     kind = "h long, c long, did long, tkey binary, at long, lo long, hi long"
-    marks = staged(rows.select("did", "tkey", "text").mapInArrow(find, kind))
-    often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = staged(marks.join(often, "h"))
+    every = staged(rows.select("did", "tkey", "text").mapInArrow(find, kind))
+    often = staged(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n"))  # written, so that the join can split a hot anchor
+    marks = staged(every.join(often, "h"))
+    dropped(every)
+    dropped(often)
     contexts = staged(marks.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "tkey", "at", "lo", "hi")).alias("rep")))
     twice = contexts.where("n > 1").select("h", "c")
     decided = marks.join(twice, ["h", "c"], "left_semi").select("tkey", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
@@ -208,8 +210,16 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text_col: str = "text",
                 last = np.concatenate([first[1:], [len(i)]]) - 1
                 yield pa.RecordBatch.from_arrays([t["tkey"].combine_chunks().take(pa.array(of[i[first]])), pa.array(place[i[first]]), pa.array(place[i[last]] + length)], names=["tkey", "start", "end"])
 
-    dealt = cut.mapInArrow(deal, suffixes).repartition("bucket").sortWithinPartitions("bucket")
-    return decided.union(dealt.mapInArrow(sort, "tkey binary, start long, end long"))
+    plain = cut.where("not hot").mapInArrow(deal, suffixes)
+    # equal slices of hot contexts repeat as a whole: they are summed before the shuffle, and one of them is sorted among the others
+    sliced = staged(cut.where("hot").mapInArrow(deal, suffixes))
+    same = ["bucket", "far", "starts", "bytes"]
+    summed = staged(sliced.groupBy(*same).agg(F.sum("n").alias("n"), F.min(F.struct("tkey", "frm")).alias("rep")))
+    alike = summed.where("n > 1").select(*same)
+    repeated = sliced.where("n = 1").join(alike, same, "left_semi").select("tkey", F.col("frm").alias("start"), (F.col("frm") + F.col("starts") - 1 + length).alias("end"))
+    one = summed.select("bucket", "n", "rep.tkey", "rep.frm", "far", "starts", "bytes")
+    dealt = plain.union(one).repartition("bucket").sortWithinPartitions("bucket")
+    return decided.union(repeated).union(dealt.mapInArrow(sort, "tkey binary, start long, end long"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
