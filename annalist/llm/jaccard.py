@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_array, components, mix, runs, shingle_hashes, slices, small, staged
+from .common import U64, as_array, components, dropped, mix, runs, shingle_hashes, slices, small, staged
 
 LEVELS, SMALL, BLOCK, SKETCH = 3, 48, 512, 64
 _M = U64(0xD6E8FEB86659FD93)
@@ -186,34 +186,41 @@ def _similar(off: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray, simil
     return both >= similarity * (size[a] + size[b] - both) - 1e-9
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", held: list[DataFrame] | None = None) -> DataFrame:
     """(doc_id, class_id, n_links): the number of other documents that are at least so similar, and the least id of all that such links connect.
 
     Sets of k-word shingles of the lower-case text; a text of fewer words is one shingle. Found links are verified on
     whole texts; each is found with at least the given probability (equal sets always). Documents of equal sets are
     compared once and counted in full. A text without words (also null) links to nothing and is its own class. A null
-    id counts as the least and is returned as null. Repeated rows are documents of their own, with equal results.
+    id counts as the least and is returned as null. Repeated rows are documents of their own, with equal results. held: a list
+    that the written tables which the result is read from are put on, for those who write the result and drop these.
     """
     least = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", F.md5("text"))
     base = staged(_base(rows, k, similarity, runs_needed(recall, similarity)))
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", *(f"{x}{i}" for i in range(LEVELS) for x in "pu"))]
     classes = staged(base.where("n > 0").groupBy("skey").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey")).alias("rep"), *firsts))
+    own = staged(base.select("did", F.when(F.col("n") > 0, F.col("skey")).alias("skey")))  # all that is read of it again
+    dropped(base)
     # split level by level; a bucket of one set is dropped, of up to SMALL kept, and a larger one split further
     level = classes.select("skey", F.explode("p0").alias("leaf"))
-    done = []
+    done, levels = [], []
     for i in range(LEVELS):
         sizes = staged(level.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1"))
+        levels.append(sizes)
         last = i == LEVELS - 1
         done.append((level, sizes if last else sizes.where(F.col("m") <= SMALL)))
         if not last:
             large = sizes.where(F.col("m") > SMALL).select(F.col("leaf").alias("up"))
             below = classes.select("skey", F.explode(F.arrays_zip(F.col(f"p{i + 1}").alias("leaf"), F.col(f"u{i + 1}").alias("up"))).alias("x")).select("skey", "x.leaf", "x.up")
             level = staged(below.join(large, "up", "left_semi").drop("up"))
+            levels.append(level)
     leaves = done[0][0].join(done[0][1], "leaf")
     for rows_of, sizes in done[1:]:
         leaves = leaves.union(rows_of.join(sizes, "leaf"))
     leaves = staged(leaves)
+    for x in levels:
+        dropped(x)
     lists = leaves.groupBy("skey").agg(F.collect_list("leaf").alias("leaves"))  # a set has a few dozen leaves at most
     facts = classes.select("skey", "n", "sketch", "copies", "rep").join(lists, "skey")
     sizes = leaves.select("leaf", "m").distinct()
@@ -230,6 +237,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, reca
     schema = "bucket long, leaf long, blk long, cross boolean, skey binary, n long, sketch binary, leaves array<long>, copies long, did long, tkey string"
     flat = dealt.select(*kept, "copies", F.col("rep.did").alias("did"), F.col("rep.tkey").alias("tkey"))
     hit = staged(flat.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(candidates, schema))
+    dropped(leaves)
     needed = hit.select("did", "tkey").distinct()
     texts = rows.join(needed, ["did", "tkey"]).dropDuplicates(["did", "tkey"])
     ready = hit.join(texts, ["did", "tkey"])
@@ -261,19 +269,25 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, k: int = 5, reca
             yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(cols, (pa.binary(), pa.int64(), pa.binary()))], names=["skey", "links", "root"])
 
     linked = staged(ready.select(*kept, "copies", "text").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verified, "skey binary, links long, root binary"))
+    dropped(hit)
+    if held is not None:
+        held += [own, classes, linked]
     links = linked.groupBy("skey").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("skey").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "skey")
     found = classes.select("skey", "copies", F.col("rep.did").alias("first")).join(links, "skey", "left").join(roots, "skey", "left").withColumn("root", F.coalesce("root", "skey"))
     ids = found.groupBy("root").agg(F.min("first").alias("class"))
     per_set = found.join(ids, "root").select("skey", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("did", F.when(F.col("n") > 0, F.col("skey")).alias("skey")).join(per_set, "skey", "left")
+    out = own.join(per_set, "skey", "left")
     null = lambda c: F.when(c != least, c)
     return out.select(null(F.col("did")).alias("doc_id"), null(F.coalesce("class", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", **how) -> DataFrame:
     """docs with one document of each class of similar_documents(), that of the least id; of repeated rows (one id, one text) one stays."""
-    found = staged(similar_documents(docs, similarity, id_col=id_col, **how))
+    held: list[DataFrame] = []
+    found = staged(similar_documents(docs, similarity, id_col=id_col, held=held, **how))
+    for x in held:
+        dropped(x)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(F.broadcast(gone) if small(gone, 100_000) else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
     twice = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
