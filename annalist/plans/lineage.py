@@ -303,7 +303,7 @@ def reindexed_damage(spark, sf_dir):
 
 
 @query(f"""with {_PIECES} select 'pack' as kind, case k when 3 then 'frame.hash_mismatch' else 'entry.unreadable' end as code, count(*) as n from bad where k in (3, 5) group by 1, 2
- union all select 'commit', 'commit.unreadable', count(*) from cm where number = 2 having count(*) > 0 union all select 'commit', 'commit.missing', 1 from tip where t >= 3 union all select 'segment', 'segment.missing', count(*) from cm, tip where number > 2 and number <= t and number % 7 = 4 having count(*) > 0""")
+ union all select 'commit', 'commit.unreadable', count(*) from cm where number = 2 having count(*) > 0 union all select 'commit', 'commit.missing', 1 from tip where t >= 2 union all select 'segment', 'segment.missing', count(*) from cm, tip where number > 2 and number <= t and number % 7 = 4 having count(*) > 0""")
 def reindex_problems(spark, sf_dir):
     """What a rebuild reports of that store."""
     folder, refs = _stored(spark, sf_dir, damaged=True)

@@ -467,7 +467,8 @@ def table_drift(spark, sf_dir):
     return quality.drift(*(quality.reading(x, "customer", "c_custkey", "c_nationkey") for x in (c, before)))
 
 
-@query()
+@query("""select 'customer' as table_name, count(*) as row_count, max(c_custkey) as max_key, max(c_nationkey) as max_changed,
+ (select sha256(string_agg(concat(coalesce(cast(c_custkey as varchar), ''), '|', coalesce(c_name, ''), '|', coalesce(cast(c_nationkey as varchar), ''), '|', coalesce(cast(c_acctbal as varchar), ''), '|', coalesce(c_mktsegment, '')), chr(10) order by c_custkey)) from (select * from customer order by c_custkey limit 200)) as digest from customer""")
 def table_reading(spark, sf_dir):
     """Whole readings, with the digest of first rows."""
     return quality.reading(table(spark, sf_dir, "customer"), "customer", "c_custkey", "c_nationkey")
