@@ -16,13 +16,14 @@ from .common import as_array, slices, staged
 
 CAPACITY = 2048
 #: Items of an island, words that a worker remembers twice at most, about, and bytes of text that it takes at a time.
-ISLAND, REMEMBERED, PART = 16_000, 150_000, 1_000_000
-_AFTER_WORD = r"([\p{L}\p{N}])([.,;:!?]+)(\s|$)"
+ISLAND, REMEMBERED, PART = 16_000, 300_000, 1_000_000
+#: Capitals beyond ASCII are left alone, as a small form may end in a mark that belongs to what follows.
+_AFTER_WORD = r"([\p{Ll}\p{Lm}\p{Lo}\p{N}])([!-/:-@\[-`{-~]+)(\s|$)"
 
 
 class Words:
     """Token ids of words, remembered. Exact for a tokenizer that never joins across white space, that splits letters and
-    digits from a closing run of .,;:!? and that marks the last token of a run of letters."""
+    digits from a closing run of ASCII punctuation and that marks the last token of a run of letters."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would take memory of its own
@@ -37,7 +38,7 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isascii() and w.isalpha()]
+        plain = [w for w in new if w.isalpha()]
         for a in range(0, len(plain), 500):  # one text of many words costs less than many texts
             part = plain[a : a + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
