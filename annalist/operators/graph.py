@@ -6,11 +6,12 @@ level or a round gives is written to the shared folder, so lineage stays short a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from . import walks
+from .ranges import first_from, numbered
 
 
 def edges(commits: DataFrame, every: int = 10, back: int = 3) -> DataFrame:
@@ -151,12 +152,12 @@ def anchors_due(commits: DataFrame, interval: int = 14_400, full_every: int = 24
     The first one does, then each that is `interval` seconds or more after the anchor before; every full_every-th anchor is
     full. Each commit points at the one that would be next after it; the anchors are what these pointers reach.
     """
-    w = Window.partitionBy("history").orderBy("microtime").rangeBetween(interval * 1_000_000, Window.unboundedFollowing)
-    node = lambda t: F.struct("history", F.col(t).alias("microtime"))
-    rows = staged(commits.select("history", "microtime").distinct().withColumn("next", F.min("microtime").over(w)))
-    start = rows.groupBy("history").agg(F.min("microtime").alias("microtime")).select(node("microtime").alias("node"), F.lit(0).alias("depth"))
-    jump = rows.where("next is not null").select(node("microtime").alias("node"), node("next").alias("up"))
-    return follow(start, jump).select("node.history", "node.microtime", F.col("depth").alias("number"), (F.col("depth") % full_every == 0).alias("full"))
+    at = staged(numbered(commits.select("history", "microtime").distinct(), "history", "microtime"))
+    last = at.groupBy("history").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    found = first_from(at, at.select("history", (F.col("microtime") + interval * 1_000_000).alias("microtime"), F.col("number").alias("node")), ["history", "microtime"], name="up")
+    jump = found.join(F.broadcast(last), found["history"].eqNullSafe(last["history"])).where("up <= last").select("node", "up")  # a row a history
+    start = last.select(F.col("first").alias("node"), F.lit(0).alias("depth"))
+    return follow(start, jump).join(at, F.col("node") == F.col("number")).select("history", "microtime", F.col("depth").alias("number"), (F.col("depth") % full_every == 0).alias("full"))
 
 
 def live_objects(edges: DataFrame, refs: DataFrame, anchors: DataFrame, anchor_parents: DataFrame, names: DataFrame, frame_parents: DataFrame, dictionaries: DataFrame) -> DataFrame:

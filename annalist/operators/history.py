@@ -62,9 +62,12 @@ def rollup(ops: DataFrame, width: int) -> DataFrame:
 def replay(ops: DataFrame, until: int | None = None) -> DataFrame:
     """State of each (realm, subject, field) after the operations up to a sequence: the last value since the last removal."""
     rows = ops if until is None else ops.where(F.col("sequence") <= until)
-    removed = F.max(F.when(F.col("verb").isin(*REMOVALS), F.col("sequence"))).over(Window.partitionBy("realm", "subject"))
-    live = rows.withColumn("_reset", F.coalesce(removed, F.lit(-1))).where((F.col("sequence") > F.col("_reset")) & F.col("field_json").isNotNull())
-    return live.groupBy("realm", "subject", "field").agg(F.max_by("field_json", "sequence").alias("value"), F.max("sequence").alias("sequence"))
+    # newest payloads and removals by field are summed before the shuffle; the window is over a subject's fields, not its operations
+    written = F.when(F.col("field_json").isNotNull(), F.col("sequence"))
+    gone = F.max(F.when(F.col("verb").isin(*REMOVALS), F.col("sequence")))
+    newest = rows.groupBy("realm", "subject", "field").agg(F.max_by("field_json", written).alias("value"), F.max(written).alias("sequence"), gone.alias("_gone"))
+    reset = F.coalesce(F.max("_gone").over(Window.partitionBy("realm", "subject")), F.lit(-1))
+    return newest.withColumn("_reset", reset).where(F.col("sequence") > F.col("_reset")).select("realm", "subject", "field", "value", "sequence")
 
 
 def subjects_at(ops: DataFrame, until: int) -> DataFrame:

@@ -41,3 +41,12 @@ def first_from(rows: DataFrame, probes: DataFrame, keys: list[str], number: str
     empty = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra]
     both = rows.select(*keys, F.col(number).alias("_number"), *empty, F.lit(False).alias("_probe")).unionByName(probes.select(*keys, F.lit(None).cast("long").alias("_number"), *extra, F.lit(True).alias("_probe")))
     return running(both, [*[F.desc(k) for k in keys], "_probe"], least={name: "_number"}).where("_probe").select(*keys, *extra, name)
+
+
+def overlapping(rows: DataFrame, order: list[str], reach: int, size: int = 4096) -> DataFrame:
+    """rows with _block, runs of `size` in an order without ties, each with the `reach` rows before it again (_own false), so that a window
+    over a block sees what one over all rows would see so far back. reach is at most size."""
+    at = numbered(rows, *order, name="_at")
+    own = at.withColumn("_block", F.expr(f"_at div {size}")).withColumn("_own", F.lit(True))
+    again = at.where(F.col("_at") % size >= size - reach).withColumn("_block", F.expr(f"_at div {size} + 1")).withColumn("_own", F.lit(False))
+    return own.unionByName(again).drop("_at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import overlapping
+
 #: Widths in seconds of the resolution ladder.
 RUNGS = (1, 5, 15, 60, 300, 3600, 21_600, 86_400, 604_800)
 MAX_BUCKETS = 480
@@ -81,9 +83,11 @@ def robust_scores(readings: DataFrame, order: str, value: str, history: int = 12
 
     Readings with fewer than `least` earlier ones have score null. With no spread and no floor the distance is a share of the
     median, and at median 0 the value's sign. Where fall_only holds, only a fall is anomalous (see FALL_ONLY). Adds n_before, median, mad, score, anomalous.
+    Readings without `by` are dealt in blocks that overlap by the history, so no task orders them all.
     """
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(-history, -1)
-    out = readings.withColumn("_h", F.collect_list(F.col(value).cast("double")).over(before)).withColumn("n_before", F.size("_h").cast("long"))
+    dealt = readings if by else overlapping(readings, [order], history)
+    before = Window.partitionBy(*(by or ["_block"])).orderBy(order).rowsBetween(-history, -1)
+    out = dealt.withColumn("_h", F.collect_list(F.col(value).cast("double")).over(before)).withColumn("n_before", F.size("_h").cast("long"))
 
     def middle(x: Column) -> Column:
         s, n = F.sort_array(x), F.size(x)
@@ -97,13 +101,14 @@ def robust_scores(readings: DataFrame, order: str, value: str, history: int = 12
     out = out.withColumn("score", F.round(score, 6)).withColumn("anomalous", F.coalesce(F.abs("score") >= threshold, F.lit(False)))
     if fall_only is not None:
         out = out.withColumn("anomalous", F.col("anomalous") & (~fall_only | (F.col("score") < 0)))
-    return out.drop("_h")
+    return out.drop("_h") if by else out.where("_own").drop("_h", "_block", "_own")
 
 
 def operation_rate(commits: DataFrame) -> DataFrame:
     """Operations an hour since the commit before; 0 for the first and for gaps of under a second."""
-    elapsed = (F.col("microtime") - F.lag("microtime").over(Window.orderBy("microtime", "commit_no"))) / SECOND  # a row a commit
-    return commits.select("commit_no", F.round(F.when(elapsed >= 1, F.col("operations") / elapsed * 3600).otherwise(0.0), 6).alias("rate"))
+    dealt = overlapping(commits.select("commit_no", "microtime", "operations"), ["microtime", "commit_no"], 1)
+    elapsed = (F.col("microtime") - F.lag("microtime").over(Window.partitionBy("_block").orderBy("microtime", "commit_no"))) / SECOND
+    return dealt.select("_own", "commit_no", F.round(F.when(elapsed >= 1, F.col("operations") / elapsed * 3600).otherwise(0.0), 6).alias("rate")).where("_own").drop("_own")
 
 
 def as_of(commits: DataFrame, probes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 from annalist.operators import archive, graph, ranges, walks
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -146,3 +147,11 @@ def test_closure_names_what_is_missing(spark):
     objects = {"commits/9", "commits/8", "segments/s9", "segments/s8", "anchors/a", "anchors/b", "packs/p1", "frames/10", "dictionaries/x", "refs/main"}
     problems = {"chain.ended 7", "segment.unreadable s8", "anchor.unwalkable d", "frame.unindexed 11", "dictionary.unindexed y"}
     assert got == {("object", o) for o in objects} | {("problem", p) for p in problems}
+
+
+def test_blocks_overlap_by_what_a_window_reaches(spark):
+    rows = [(i, i * i % 97) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(5)
+    w = Window.partitionBy("_block").orderBy("i").rowsBetween(-20, -1)
+    got = ranges.overlapping(df, ["i"], 20, 32).withColumn("s", F.sum("v").over(w)).where("_own").select("i", "s").collect()
+    assert {(r.i, r.s) for r in got} == {(i, sum(v for _, v in rows[max(0, i - 20) : i]) if i else None) for i in range(300)}
