@@ -256,7 +256,8 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got["_t"].to_pylist(), got["_y"].to_pylist()))], pa.binary())], names=["field"])
 
     sample = _sample(docs, labels, held_out, id_col, text_col, label_col, per_label, chars).withColumn("_y", F.col("_y").cast("int"))
-    return pickle.loads(sample.repartition(1).sortWithinPartitions("_o").mapInArrow(run, "field binary").first()["field"])
+    row = sample.repartition(1).sortWithinPartitions("_o").mapInArrow(run, "field binary").first()
+    return pickle.loads(row["field"]) if row else fit([], [])  # an empty sample may have no task at all
 
 
 def _marginals_of(m: Field, texts: pa.Array, memo: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
