@@ -1,6 +1,7 @@
 """The corpus pipeline: documents are filtered, deduplicated, cut, mixed and packed.
 
-Each stage takes (spark, docs, sf_dir) and is one operator of annalist.llm with its production parameters.
+Each stage takes (spark, docs, sf_dir) and is one operator of annalist.llm with its production parameters. Null texts count as empty and
+stay null, null ids stay, other columns may have any names and pass through, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,30 +22,32 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3."""
+    """Documents that score under 0.3. A text without a word has the least score; without labels all documents score by a fixed share and stay."""
     _small_batches(spark)
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), toxicity.held_out)
     return toxicity.clean_documents(docs, model, 0.3)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarities of 0.8 or more connect."""
+    """One document of each group that similarities of 0.8 or more connect, that of the least id; texts without a word are in no group."""
     return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur elsewhere."""
+    """Texts without the bytes of 400-byte strings that occur elsewhere; a text that repeats as a whole becomes empty, its row stays."""
     _small_batches(spark)
     return suffix.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics come near their target weights."""
-    return mixing.corpus_mix(docs).select(*docs.columns)
+    """Documents sampled so that sources, languages and topics come near their target weights; null ones are a source and a language of their own."""
+    used = ("doc_id", "text", "lang", "source", "n_chars")
+    own = docs.toDF(*[c if c in used else f"own_{i}" for i, c in enumerate(docs.columns)])  # other columns may have any names
+    return mixing.corpus_mix(own).select(*own.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; a text without a token is one piece, its end."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
