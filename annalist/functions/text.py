@@ -76,32 +76,47 @@ SECRETS = (
 MARKER = "REDACTED_SET_THIS_BEFORE_USE"
 
 
-def secret_line(line: Column) -> Column:
-    """Whether a line of settings assigns to a variable or a quoted key whose name holds a secret's part."""
-    at = F.when(F.instr(line, "=>") > 0, F.instr(line, "=>")).otherwise(F.instr(line, "="))
-    target = F.lower(F.substring(line, F.lit(1), at - 1))
+def _assigned_at(line: Column) -> Column:
+    """Where a line assigns: at its first =>, else at its first =, 0 without either."""
+    arrow = F.instr(line, "=>")
+    return F.when(arrow > 0, arrow).otherwise(F.instr(line, "="))
+
+
+def _secret_target(at: Column, target: Column) -> Column:
+    """Whether what stands before an assignment, in lower case, is a variable or a quoted key whose name holds a secret's part."""
     assigns = target.contains("$") | target.rlike(r"""['"][a-z0-9_.\-]+['"]\s*$""")
     return (at > 0) & assigns & target.rlike("|".join(SECRETS))
 
 
+def secret_line(line: Column) -> Column:
+    """Whether a line of settings assigns to a variable or a quoted key whose name holds a secret's part."""
+    at = _assigned_at(line)
+    return _secret_target(at, F.lower(F.substring(line, F.lit(1), at - 1)))
+
+
+def _read_lines(lines: Column) -> Column:
+    """Lines as (x, body, at, target), each part computed once: Spark evaluates what a lambda names again wherever it is used."""
+    parts = F.transform(lines, lambda x: F.struct(x.alias("x"), F.rtrim(x, F.lit("\r\n")).alias("body")))
+    parts = F.transform(parts, lambda p: F.struct(p["x"].alias("x"), p["body"].alias("body"), _assigned_at(p["body"]).alias("at")))
+    return F.transform(parts, lambda p: F.struct(p["x"].alias("x"), p["body"].alias("body"), p["at"].alias("at"), F.lower(F.substring(p["body"], F.lit(1), p["at"] - 1)).alias("target")))
+
+
 def redact_settings(text: Column) -> Column:
     """A settings file with the values of its secret lines replaced; the end of a statement or list item is kept, other lines as they are."""
 
-    def line(x: Column) -> Column:
-        arrow = F.instr(x, "=>")
-        at = F.when(arrow > 0, arrow).otherwise(F.instr(x, "="))
-        body = F.regexp_extract(x, r"^[^\r\n]*", 0)
+    def line(p: Column) -> Column:
+        x, body, at = p["x"], p["body"], p["at"]
         rest = F.substring(body, at, F.length(x))
         tail = F.when(rest.contains(";"), ";").when(rest.contains(","), ",").otherwise("")
-        made = F.concat(F.substring(x, F.lit(1), at - 1), F.when(arrow > 0, "=>").otherwise("="), F.lit(f" '{MARKER}'"), tail, F.substring(x, F.length(body) + 1, F.length(x)))
-        return F.when(secret_line(body), made).otherwise(x)
+        made = F.concat(F.substring(x, F.lit(1), at - 1), F.when(F.substring(body, at, F.lit(2)) == "=>", "=>").otherwise("="), F.lit(f" '{MARKER}'"), tail, F.substring(x, F.length(body) + 1, F.length(x)))
+        return F.when(_secret_target(at, p["target"]), made).otherwise(x)
 
-    return F.array_join(F.transform(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), line), "")
+    return F.array_join(F.transform(_read_lines(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)")), line), "")
 
 
 def secret_lines(text: Column) -> Column:
     """How many lines of a settings file are secret."""
-    return F.size(F.filter(F.split(text, r"\r\n|\n|\r"), secret_line)).cast("long")
+    return F.size(F.filter(_read_lines(F.split(text, r"\r\n|\n|\r")), lambda p: _secret_target(p["at"], p["target"]))).cast("long")
 
 
 #: Characters of a site's id that is made from what the site is.

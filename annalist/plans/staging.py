@@ -21,3 +21,8 @@ def staged(df: DataFrame) -> DataFrame:
     path = scratch_folder(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as shuffles have, for work that costs more than reading: a scan has a task a row group, and a small file is one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -10,6 +10,7 @@ from ..sources import history as src
 from ..sources.history import table, with_views
 from .lineage import ORACLE_SQL, QUERIES
 from .queries import HOUR6, query
+from .staging import spread
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -163,7 +164,7 @@ def redacted_settings(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     lit = F.lit
     body = F.concat(lit("$databases['default']['"), _pick(_KEYS6, F.col("c_custkey")), lit("'] = '"), "c_name", lit("';\n  'smtp_pass' => 'x"), F.col("c_custkey").cast("string"), lit("', 'next' => 1,\n# password = nothing\nif ($token == 1) {\n$config['"), _pick(_KEYS6, F.col("c_nationkey")), lit("'] = '"), "c_mktsegment", lit("'\n'dsn'=> 'a=b'"))
-    rows = c.select(F.col("c_custkey").alias("id"), body.alias("body"))
+    rows = spread(c.select("c_custkey", "c_nationkey", "c_name", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").alias("id"), body.alias("body"))
     return rows.select("id", tx.redact_settings(F.col("body")).alias("redacted"), tx.secret_lines(F.col("body")).alias("secrets"))
 
 

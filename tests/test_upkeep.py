@@ -5,6 +5,7 @@ import re
 import pytest
 from annalist.functions import text as tx
 from annalist.operators import keyspace, policy, quality, records
+from annalist.plans.upkeep import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,10 @@ def test_settings_are_redacted_line_by_line(spark):
     assert df.limit(1).select(tx.redact_settings(F.lit(None).cast("string"))).first()[0] is None
 
 
+def test_settings_are_dealt_to_tasks_beyond_the_scan(spark, sf_dir):
+    assert QUERIES["redacted_settings"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_sites_and_labels(spark):
     row = spark.range(1).select(tx.site_id(F.lit(" a b/c! "), F.lit("x")), tx.site_id(F.lit("!"), F.lit("db"), F.lit(None), F.lit("host")), tx.site_key(F.lit("s"), F.lit("//k/x")), tx.own_key(F.lit("s"), F.lit("s/k")), tx.own_key(F.lit("s"), F.lit("st/k")), tx.label("outcome", F.lit("ours")), tx.label("realm", F.lit("?"))).first()
     import hashlib
