@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import shuffled, staged
 from . import walks
 from .ranges import first_from, numbered
 
@@ -42,9 +42,9 @@ def follow(start: DataFrame, jump: DataFrame) -> DataFrame:
     """(node, depth) from start (node, depth) along jump (node, up; one a node), by pointer doubling: log2 of the length in rounds."""
     walked, jump = start.select("node", F.col("depth").cast("long")), staged(jump.select("node", "up"))
     for k in range(62):
-        more = walked.join(jump, "node").select(F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
+        more = walked.join(shuffled(jump), "node").select(F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         walked = staged(walked.union(more))
-        jump = staged(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")))
+        jump = staged(jump.join(shuffled(jump.select(F.col("node").alias("up"), F.col("up").alias("up2"))), "up").select("node", F.col("up2").alias("up")))
         if not jump.limit(1).count():
             return walked
     raise ValueError("the pointers run in a circle")
@@ -123,13 +123,13 @@ def chain_depths(frames: DataFrame) -> DataFrame:
     Pointer doubling, log2 of the deepest chain in rounds. A frame without a parent, or whose parent isn't there, is at 0.
     """
     known = frames.select(F.col("hash").alias("parent"), F.lit(True).alias("_there"))
-    at = frames.select("hash", "parent").join(known, "parent", "left").select("hash", F.when(F.col("_there"), F.col("parent")).alias("up"))
+    at = frames.select("hash", "parent").join(shuffled(known), "parent", "left").select("hash", F.when(F.col("_there"), F.col("parent")).alias("up"))
     at = staged(at.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")))
     for _ in range(62):
         if not at.where("up is not null").limit(1).count():
             return at.select("hash", "depth")
         on = at.select(F.col("hash").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
-        at = staged(at.join(on, "up", "left").select("hash", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        at = staged(at.join(shuffled(on), "up", "left").select("hash", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
     raise ValueError("the chains run in a circle")
 
 
@@ -143,7 +143,7 @@ def reanchor(frames: DataFrame, cap: int = 32, budget: int = 200) -> DataFrame:
     before = staged(chain_depths(frames))
     alone = deepest_chains(before, cap + 1, budget).select("hash", F.lit(True).alias("_alone"))
     rewritten = frames.join(alone, "hash", "left").select("hash", F.when(F.col("_alone").isNull(), F.col("parent")).alias("parent"))
-    return before.where("depth > 0").withColumnRenamed("depth", "before").join(chain_depths(rewritten).withColumnRenamed("depth", "after"), "hash")
+    return before.where("depth > 0").withColumnRenamed("depth", "before").join(shuffled(chain_depths(rewritten).withColumnRenamed("depth", "after")), "hash")
 
 
 def anchors_due(commits: DataFrame, interval: int = 14_400, full_every: int = 24) -> DataFrame:

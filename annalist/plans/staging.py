@@ -23,6 +23,12 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a join's side that is dealt to tasks, never sent through the driver. Files of sorted numbers are a tenth of their rows in
+    memory, so Spark takes them for small, and a loop sends such a table to the driver and all executors once a round."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to as many tasks as shuffles have, for work that costs more than reading: a scan has a task a row group, and a small file is one."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

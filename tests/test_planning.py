@@ -5,6 +5,7 @@ import random
 
 import pytest
 from annalist.operators import capture, graph, history, planning, policy, store
+from annalist.plans.staging import staged
 from pyspark.sql import functions as F
 
 from test_history import OPS
@@ -112,6 +113,22 @@ def test_key_writes_and_scope(spark):
     assert [r["subject"] for r in ops.where(capture.in_scope(("entity", "table"), ("own",), "mine_")).collect()] == ["node:1", "users:3"]
 
 
+def test_chain_depths_and_pointers_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(graph, "staged", kept)
+    frames = spark.range(200).select(F.col("id").alias("hash"), F.when(F.col("id") % 20 > 0, F.col("id") - 1).alias("parent"))
+    assert graph.reanchor(frames, 12).where("before > 12 and after = 0").count() == 70
+    assert graph.follow(spark.createDataFrame([(0, 0)], "node long, depth long"), frames.where("parent is not null").select(F.col("parent").alias("node"), F.col("hash").alias("up"))).count() == 20
+    assert len(plans) > 8 and any("SortMergeJoin" in p for p in plans)
+    # only the list of frames to write anew, of at most `budget` rows, may be sent
+    assert sum("BroadcastExchange" in p for p in plans) <= 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chain_depths_and_reanchoring(spark, seed):
     r = random.Random(seed)
